@@ -6,13 +6,15 @@ successive ones, so they depend on the text around them only, not on where lines
 positions, two cut points, and so one whole chunk, lie inside every form of at least GRAM + 2 * WINDOW - 1 = 19 characters. A line
 that repeats therefore repeats a chunk.
 
-Chunks are counted in distinct documents per source in two steps. First all documents' chunks are added into one table of WIDTH
-counters (pre-aggregated per task, merged by block): its counts are never too low. Only chunks whose counter reaches the source's
-threshold are then counted exactly, so rare chunks are never shuffled. The threshold is a share of the source's documents, so the
-table's error stays in the same proportion to it at any size of input: its width need not grow.
+Chunks are counted in distinct documents per source: all documents' chunks are added into one table of WIDTH counters (pre-aggregated
+per task, merged by block), whose counts are never too low. The threshold is a share of the source's documents, so the table's error
+stays in the same proportion to it at any size of input: its width need not grow.
 
-A document is cut where a chunk repeats excessively: the line that holds the chunk is a candidate and its whole form is counted
-exactly (documents per source and form); forms at or above the threshold are boilerplate.
+The texts are cut where chunks repeat excessively: a line is a candidate if every chunk in its core reaches the source's threshold.
+The core is what lies so far from the line's ends that its cut points don't depend on the lines beside it, so a repeated line always
+has the same core. (A line too short to have a chunk in its core is a candidate if any chunk in it reaches the threshold.) Of
+candidates alone the whole form is counted exactly (documents per source and form), so rare text is never shuffled; forms at or above
+the threshold are boilerplate.
 
 Defined cases: null sources and null or empty texts have no lines; repeated rows count as documents of their own; the count of a
 source's documents is of all its rows, those with null text too; the longest texts are hashed a block of lines at a time.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, need, small, table
+from ..shared import cut, lookup, need, small, table
 
 GRAM = 5
 WINDOW = 7
@@ -85,8 +87,8 @@ def forms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return c, line
 
 
-def _prefix_hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hashes by rolling a polynomial, and mixed values for chunk sums."""
+def _grams(c: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of GRAM characters."""
     with np.errstate(over="ignore"):
         x = (c.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULT)
         x ^= x >> np.uint64(29)
@@ -97,7 +99,7 @@ def _prefix_hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g ^= g >> np.uint64(31)
         g *= np.uint64(0x94D049BB133111EB)
         g ^= g >> np.uint64(32)
-    return g, x
+    return g
 
 
 def _cuts(g: np.ndarray) -> np.ndarray:
@@ -109,14 +111,14 @@ def _cuts(g: np.ndarray) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def chunks(c: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the chunks between successive cut points, each with the gram at its end, and the lines they lie in.
+def chunks(c: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the chunks between successive cut points, each with the gram at its end, the lines they lie in, and whether in the core.
 
     Chunks that reach over a line's end are left out: they are of no use to tell a line, and what is before them in another document differs.
     """
     if len(c) < GRAM + 1:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-    g, x = _prefix_hashes(c)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
+    g = _grams(c)
     at = _cuts(g)
     a, b = at[:-1], at[1:]
     whole = line[a] == line[np.minimum(b + GRAM - 1, len(line) - 1)]
@@ -128,7 +130,11 @@ def chunks(c: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mid = g[(a + b) // 2]
         h = (g[a] * np.uint64(3) + g[b]) * np.uint64(_MULT) + mid * np.uint64(5) + (b - a).astype(np.uint64)
         h ^= h >> np.uint64(30)
-    return h, line[a]
+    edge = np.flatnonzero(c == 10)
+    start = np.concatenate(([0], edge + 1))[np.searchsorted(edge, a)]
+    end = np.concatenate((edge, [len(c)]))[np.searchsorted(edge, a)]
+    core = (a - start >= WINDOW - 1) & (b + GRAM + WINDOW - 1 <= end)
+    return h, line[a], core
 
 
 def _pieces(texts: list, docs: list[int]):
@@ -155,18 +161,19 @@ def _pieces(texts: list, docs: list[int]):
 
 
 def _batch(batch: pa.RecordBatch):
-    """Of each block: the sources by document, hashes of chunks, and the document and line number of each."""
+    """Of each block: the sources by document; of each chunk the hash, document, line in the block, and if it is in the core; the block, and its lines' documents and numbers."""
     sources, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
     for text, of, no in _pieces(texts, range(len(texts))):
         c, line = forms(text)
-        h, at = chunks(c, line)
-        yield sources, h, of[at] if len(at) else at, no[at] if len(at) else at, text, of, no, at
+        h, at, core = chunks(c, line)
+        if len(h):
+            yield sources, h, of[at], at, core, text, of, no
 
 
 def _by_source(sources: list, doc: np.ndarray) -> np.ndarray:
     """A salt of the source for each chunk."""
     salt = np.array([crc32((s or "").encode("utf-8", "surrogatepass")) + 1 for s in sources], dtype=np.uint64)
-    return salt[doc] if len(doc) else np.zeros(0, dtype=np.uint64)
+    return salt[doc]
 
 
 def _mixed(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -178,7 +185,7 @@ def _mixed(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
 def _count(batches):
     counts = np.zeros(WIDTH, dtype=np.int32)
     for batch in batches:
-        for sources, h, doc, _, _, _, _, _ in _batch(batch):
+        for sources, h, doc, *_ in _batch(batch):
             key = _mixed(h, _by_source(sources, doc))
             slot = (key & np.uint64(WIDTH - 1)).astype(np.int64)
             # a document counts once for a slot: of its chunks the distinct (document, slot)
@@ -228,54 +235,34 @@ class RepeatedLines:
             full = full.join(per_source, "source")
 
         def survivors(batches):
-            """Rows of chunks (line 0, key) and of the lines that hold one, with its whole form: what may repeat, nothing else."""
+            """The lines all of whose core's chunks may repeat, with their forms."""
             table_ = sent.value
             for batch in batches:
                 ids = batch.column("id").to_pylist()
                 of_source = batch.column("source").to_pylist()
                 needed = np.array([least[s] for s in of_source] if least is not None else batch.column("least").to_pylist(), dtype=np.int64)
-                for sources, h, doc, no, _text, _of, _no, at in _batch(batch):
+                for sources, h, doc, at, core, block, of, no in _batch(batch):
                     key = _mixed(h, _by_source(sources, doc))
-                    hot = table_[(key & np.uint64(WIDTH - 1)).astype(np.int64)] >= (needed[doc] if len(doc) else 0)
-                    if not hot.any():
-                        continue
-                    key, doc, no, at = key[hot], doc[hot], no[hot], at[hot]
-                    # of each line all its hot chunks: one row a line, with the keys
-                    order = np.argsort(at, kind="stable")
-                    key, at = key[order], at[order]
-                    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                    lines = _text.split("\n")
-                    out_id, out_no, out_source, out_form, out_keys = [], [], [], [], []
-                    for s, e in zip(starts, [*starts[1:], len(at)]):
-                        line = at[s]
-                        form = form_of(lines[line])
-                        if len(form) < form_chars:
-                            continue
-                        d = int(_of[line])
-                        out_id.append(ids[d])
-                        out_no.append(int(_no[line]))
-                        out_source.append(of_source[d])
-                        out_form.append(form)
-                        out_keys.append(np.unique(key[s:e]).astype(np.int64).tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array(out_id, batch.schema.field("id").type), pa.array(out_no, pa.int64()), pa.array(out_source, pa.string()), pa.array(out_form, pa.string()), pa.array(out_keys, pa.list_(pa.int64()))], names=["id", "line_no", "source", "form", "keys"])
+                    hot = table_[(key & np.uint64(WIDTH - 1)).astype(np.int64)] >= needed[doc]
+                    any_hot, cold = np.zeros(len(of), dtype=bool), np.zeros(len(of), dtype=bool)
+                    any_hot[at[hot]] = True
+                    cold[at[core & ~hot]] = True
+                    lines = block.split("\n")
+                    chosen = [(i, f) for i in np.flatnonzero(any_hot & ~cold) if len(f := form_of(lines[i])) >= form_chars]
+                    where = [i for i, _ in chosen]
+                    docs = of[where].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[d] for d in docs], batch.schema.field("id").type), pa.array(no[where], pa.int64()), pa.array([of_source[d] for d in docs], pa.string()), pa.array([f for _, f in chosen], pa.string())],
+                        names=["id", "line_no", "source", "form"],
+                    )
 
         kind = dict(rows.dtypes)["id"]
-        lines = cut(full.mapInArrow(survivors, f"id {kind}, line_no long, source string, form string, keys array<long>"), "lines")
-        # the row's own number tells documents apart even if ids repeat: within a source two rows may share an id only if the input has it twice
-        chunk_docs = lines.select("source", "id", F.explode("keys").alias("key")).distinct().groupBy("source", "key").agg(F.count("*").alias("docs"))
-        thresholds = F.broadcast(spark.createDataFrame([(s, n) for s, n in least.items()], "source string, least long")) if least else per_source
-        self.chunks = chunk_docs.join(thresholds, "source").where("docs >= least").select("source", "key", "docs")
-        repeated = self._holding(lines)
-        form_docs = repeated.groupBy("source", "form").agg(F.count_distinct("id").alias("docs")).join(thresholds, "source").where("docs >= least").select("source", "form", "docs")
-        self.forms = form_docs
-        self.lines = repeated.join(form_docs, ["source", "form"]).select("id", "line_no", "source", "form", "docs")
-
-    def _holding(self, lines: DataFrame) -> DataFrame:
-        """The lines that hold an excessively repeated chunk. A source has at most 1/share times the chunks of a mean document that
-        are that frequent; the side is broadcast only if it is small, and joined by shuffle otherwise."""
-        hot = self.chunks.select("source", "key")
-        pairs = lines.select("source", "id", "line_no", "form", F.explode("keys").alias("key")).join(hot, ["source", "key"])
-        return pairs.select("source", "id", "line_no", "form").distinct()
+        lines = cut(full.mapInArrow(survivors, f"id {kind}, line_no long, source string, form string"), "lines")
+        thresholds = F.broadcast(spark.createDataFrame(list(least.items()), "source string, least long")) if least else per_source
+        # ids of one source and form in two steps, each partially aggregated: a form of a third of all rows is no hot task
+        once = lines.select("source", "form", "id").distinct()
+        self.forms = once.groupBy("source", "form").agg(F.count("*").alias("docs")).join(thresholds, "source").where("docs >= least").select("source", "form", "docs")
+        self.lines = lines.join(lookup(cut(self.forms, "forms")), ["source", "form"]).select("id", "line_no", "source", "form", "docs")
 
 
 def form_of(line: str) -> str:
