@@ -34,7 +34,7 @@ def similar_pairs(notes: DataFrame, threshold: float = 0.9, k: int = 8) -> DataF
     rep = notes.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     w = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"))
     words = notes.join(rep.select("doc_id"), "doc_id", "left_semi").select("doc_id", w.alias("w")).where(F.size("w") >= k)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))
     post = words.select("doc_id", runs.alias("s")).select("doc_id", F.size("s").alias("n"), F.explode("s").alias("e"))
     df = post.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     shared = post.join(df, "e").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))

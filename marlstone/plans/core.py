@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +18,7 @@ from ..operators import select as S
 from ..operators.components import components
 from ..operators.incremental import path_key
 from ..shared import lookup, need, table
+from ..sources.frontmatter import as_json
 from ..streaming.refresh import fingerprint
 
 QUERIES: dict = {}
@@ -377,8 +382,6 @@ d AS (SELECT coalesce(n.vault, o.vault) AS vault, coalesce(n.path, o.path) AS pa
 
 
 def manifest_delta(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     ok = need(table(spark, d, "export_runs"), "run_id", "vault", "status", "generated_at").where("status = 'ok' AND generated_at IS NOT NULL")
     ok = ok.withColumn("rn", F.row_number().over(W.partitionBy("vault").orderBy(F.desc("generated_at"), F.desc("run_id")))).where("rn <= 2").select("vault", "run_id", "rn")
     m = need(table(spark, d, "manifest_hashes"), "run_id", "path", "content_hash").join(lookup(ok), "run_id")
@@ -417,7 +420,7 @@ def _union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stm02_sessions", """WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-y AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, epoch(min(ts))::BIGINT AS start, count(*) AS n FROM y GROUP BY user_id, s""")
+y AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM y GROUP BY user_id, s""")
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
     s = I.sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes")
     return s.select("user_id", F.unix_seconds("start").alias("start"), "n")
@@ -435,10 +438,6 @@ def _xml(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk07_html")
 def _html(spark: SparkSession, d: str) -> DataFrame:
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def html(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return P.html_articles(texts)
@@ -478,12 +477,6 @@ def _limits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jsn01_frontmatter_data")
 def _front(spark: SparkSession, d: str) -> DataFrame:
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from ..sources.frontmatter import as_json
-
     @F.pandas_udf("string")
     def data(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return as_json(texts)
