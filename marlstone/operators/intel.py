@@ -24,7 +24,7 @@ def line_frequency(notes: DataFrame, least_docs: int = 3, least_chars: int = 10)
     return once.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
 
 
-def similar_pairs(notes: DataFrame, threshold: float = 0.9, k: int = 8) -> DataFrame:
+def similar_pairs(notes: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """a < b, similarity of notes whose distinct k-word shingles overlap by Jaccard >= threshold; copies of one text are one (the least id).
 
     Prefix filter: with shingles in order of rarity, only the first n - ceil(t n) + 1 of a note can decide, so frequent shingles are never
@@ -34,7 +34,9 @@ def similar_pairs(notes: DataFrame, threshold: float = 0.9, k: int = 8) -> DataF
     rep = notes.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     w = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"))
     words = notes.join(rep.select("doc_id"), "doc_id", "left_semi").select("doc_id", w.alias("w")).where(F.size("w") >= k)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))
+    # shifted lists side by side: inside a lambda over positions the list of words would be made anew for each of them
+    side = F.arrays_zip(*(F.slice("w", j + 1, F.greatest(F.size("w") - j, F.lit(0))).alias(f"w{j}") for j in range(k)))
+    runs = F.array_distinct(F.transform(F.filter(side, lambda r: r[f"w{k - 1}"].isNotNull()), lambda r: F.xxhash64(*[r[f"w{j}"] for j in range(k)])))
     post = words.select("doc_id", runs.alias("s")).select("doc_id", F.size("s").alias("n"), F.explode("s").alias("e"))
     df = post.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     shared = post.join(df, "e").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))

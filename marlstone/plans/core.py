@@ -354,9 +354,9 @@ def _drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("cnd01_similar_pairs", NOTES + r""", r AS (SELECT md5(text) AS h, min(doc_id) AS doc_id FROM m GROUP BY 1), w AS (SELECT m.doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM m JOIN r USING (doc_id)),
-s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+7], ' ') FOR i IN range(1, len(w) - 6)]) AS s FROM w WHERE len(w) >= 8), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM w WHERE len(w) >= 5), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, round(i / (x.n + y.n - i)::DOUBLE, 6) AS similarity FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE i / (x.n + y.n - i)::DOUBLE >= 0.9""")
+SELECT a, b, round(i / (x.n + y.n - i)::DOUBLE, 6) AS similarity FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE i / (x.n + y.n - i)::DOUBLE >= 0.8""")
 def _similar(spark: SparkSession, d: str) -> DataFrame:
     return I.similar_pairs(N.notes(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
