@@ -1,6 +1,6 @@
 """All queries of the library without the llm subpackage, and their SQL."""
 
-from . import core, p5
+from . import core, more, p5
 
-QUERIES = {**core.QUERIES, **p5.QUERIES}
-SQL = {**core.SQL, **p5.SQL}
+QUERIES = {**core.QUERIES, **more.QUERIES, **p5.QUERIES}
+SQL = {**core.SQL, **more.SQL, **p5.SQL}

@@ -43,11 +43,15 @@ NOTES = r"""WITH n AS (SELECT doc_id, coalesce(path, concat('unfiled/', doc_id,
 m AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS stem FROM n)
 """
 _STOP = ", ".join("'" + w + "'" for w in T.STOP)
-_Q = lambda p: p.replace("'", "''")  # noqa: E731 - a pattern in an SQL literal
-_WORDS = f"len(regexp_extract_all(text, '{_Q(T.WORD)}'))"
+def _q(pattern: str) -> str:
+    """A pattern in an SQL literal."""
+    return pattern.replace("'", "''")
+
+
+_WORDS = f"len(regexp_extract_all(text, '{_q(T.WORD)}'))"
 _STRIP = "x"
 for _p, _t in T.MARKUP:
-    _STRIP = f"regexp_replace({_STRIP}, '{_Q(_p)}', '{_t.replace('$1', chr(92) + '1')}', 'g')"
+    _STRIP = f"regexp_replace({_STRIP}, '{_q(_p)}', '{_t.replace('$1', chr(92) + '1')}', 'g')"
 _LINE = _STRIP.replace("(x,", "(regexp_replace(line, '^ {0,3}(#{1,6}[ \\t]+|> ?)', ''),", 1)
 _TEMPLATE = f"regexp_replace(substr(trim(lower(regexp_replace(regexp_replace({_LINE}, '[*_`~]', '', 'g'), '\\s+', ' ', 'g'))), 1, 160), '[0-9]+', '#', 'g')"
 LINES = NOTES + r""", ls AS (SELECT doc_id, folder, path, mtime, string_split(text, chr(10)) AS l FROM m),
@@ -55,7 +59,7 @@ li AS (SELECT doc_id, folder, path, mtime, unnest(range(1, len(l) + 1)) AS line_
 fe AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence FROM li),
 oc AS (SELECT * FROM (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS o FROM fe) WHERE NOT fence AND o % 2 = 0)
 """
-TERMS = NOTES + f""", tt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_Q(T.TERM)}')) AS term FROM m),
+TERMS = NOTES + f""", tt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_q(T.TERM)}')) AS term FROM m),
 tf AS (SELECT doc_id, term, count(*) AS freq FROM tt WHERE length(term) <= 40 AND term NOT IN ({_STOP.replace("''", "'")}) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS rank FROM tf QUALIFY rank <= 14),
 df AS (SELECT term, count(*) AS df FROM top GROUP BY term),
@@ -73,7 +77,7 @@ LINKS = NOTES + r""", lk AS (SELECT DISTINCT doc_id, trim(t) AS target FROM (SEL
 
 
 @query("str01_token_estimate", NOTES + rf"""SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(1, floor(greatest(0, len(regexp_extract_all(text, '[^ \t\n\r]')) - cjk - sy) / 4 * 0.5 + w * 1.3 * 0.5 + sy * 0.3 + cjk + 0.5))::BIGINT ELSE 0 END AS tokens
-FROM (SELECT doc_id, text, len(regexp_extract_all(text, '{_Q(T.CJK)}')) AS cjk, len(regexp_extract_all(text, '{_Q(T.SYMBOL)}')) AS sy, len([x FOR x IN regexp_extract_all(text, '{_Q(T.WORD)}') IF NOT regexp_matches(x, '{_Q(T.CJK)}')]) AS w FROM m)""")
+FROM (SELECT doc_id, text, len(regexp_extract_all(text, '{_q(T.CJK)}')) AS cjk, len(regexp_extract_all(text, '{_q(T.SYMBOL)}')) AS sy, len([x FOR x IN regexp_extract_all(text, '{_q(T.WORD)}') IF NOT regexp_matches(x, '{_q(T.CJK)}')]) AS w FROM m)""")
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return N.notes(spark, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
@@ -249,7 +253,7 @@ def _hops(spark: SparkSession, d: str) -> DataFrame:
 GLOBS = ["**/*.md", "!**/archive/**", "!unfiled/"]
 _GLOB_SQL = "false"
 for _g in GLOBS:
-    _GLOB_SQL = f"CASE WHEN regexp_matches(lower(path), '{_Q(S.glob_regex(_g.lower()))}') THEN {str(not _g.startswith('!')).lower()} ELSE {_GLOB_SQL} END"
+    _GLOB_SQL = f"CASE WHEN regexp_matches(lower(path), '{_q(S.glob_regex(_g.lower()))}') THEN {str(not _g.startswith('!')).lower()} ELSE {_GLOB_SQL} END"
 
 
 @query("flt02_globs", NOTES + f"SELECT doc_id, path FROM m WHERE {_GLOB_SQL}")
@@ -312,7 +316,7 @@ _FOCUS = ("drainage", "seedling", "telescope")
 
 
 @query("rnk02_focus", TERMS + f""", q AS (SELECT * FROM kt WHERE term IN {_FOCUS}), id AS (SELECT term, ln(1 + n / (1 + max(df))) AS idf FROM q, nn GROUP BY term, n),
-ti AS (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(lower(title), '{_Q(T.TERM)}'))) AS term FROM m),
+ti AS (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(lower(title), '{_q(T.TERM)}'))) AS term FROM m),
 al AS (SELECT doc_id, term, sum(s) AS s FROM (SELECT doc_id, term, weight AS s FROM q UNION ALL SELECT doc_id, term, 2.5 * idf FROM ti JOIN id USING (term)) GROUP BY ALL),
 pn AS (SELECT doc_id, sum(s) * CASE WHEN count(*) > 1 THEN 1 + 0.35 * (count(*) - 1) ELSE 1 END AS score, count(*) AS matched FROM al GROUP BY doc_id)
 SELECT doc_id, round(score, 6) AS score, matched FROM pn JOIN m USING (doc_id) WHERE NOT contains(lower(title), 'review') ORDER BY round(score, 9) DESC, path LIMIT 20""")
@@ -322,7 +326,7 @@ def _focus(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.round("score", 6).alias("score"), "matched")
 
 
-_KIND_SQL = "CASE WHEN length(line) > 4000 THEN NULL " + " ".join(f"WHEN regexp_matches(line, '{_Q(p)}') THEN '{k}'" for k, p in (*I.SECRETS, I.EMAIL)) + " END"
+_KIND_SQL = "CASE WHEN length(line) > 4000 THEN NULL " + " ".join(f"WHEN regexp_matches(line, '{_q(p)}') THEN '{k}'" for k, p in (*I.SECRETS, I.EMAIL)) + " END"
 
 
 @query("sec01_secret_scan", LINES + f"SELECT doc_id, line_no, {_KIND_SQL} AS kind FROM li WHERE {_KIND_SQL} IS NOT NULL")
