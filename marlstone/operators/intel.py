@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import cut
 from .notes import lines, outside_fences
 
 
@@ -39,7 +40,8 @@ def similar_pairs(notes: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
     runs = F.array_distinct(F.transform(F.filter(side, lambda r: r[f"w{k - 1}"].isNotNull()), lambda r: F.xxhash64(*[r[f"w{j}"] for j in range(k)])))
     post = words.select("doc_id", runs.alias("s")).select("doc_id", F.size("s").alias("n"), F.explode("s").alias("e"))
     df = post.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    shared = post.join(df, "e").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))
+    # read four times below, so written once
+    shared = cut(post.join(df, "e").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s")), "shared")
     head = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("s"))
     lead = shared.where(head > 0).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), head)).alias("x")).select("doc_id", "n", "x.e")
     x, y = lead.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "e"), lead.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "e")
