@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..shared import cut
-from .notes import lines, outside_fences
+from . import notes as N
+from .notes import lines, lines_like, outside_fences
 
 
 def exact_duplicates(notes: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ METRIC = r"([A-Za-z][A-Za-z0-9@_/-]{1,24})\s*(?:=|:|\bis\b|\bat\b)\s*([0-9]+(?:\
 
 def metric_claims(notes: DataFrame) -> DataFrame:
     """doc_id, subject, value: the first claim of each subject in a note, in lines outside code of at most 300 characters."""
-    at = outside_fences(lines(notes, "doc_id")).where(F.length("line") <= 300)
+    at = outside_fences(lines_like(notes, r"(?:=|:|\bis\b|\bat\b)\s*[0-9]", "doc_id")).where(F.length("line") <= 300)
     hit = at.select("doc_id", "line_no", F.posexplode(F.arrays_zip(F.regexp_extract_all("line", F.lit(METRIC), F.lit(1)).alias("s"), F.regexp_extract_all("line", F.lit(METRIC), F.lit(2)).alias("v"))).alias("pos", "m"))
     first = hit.select("doc_id", F.lower("m.s").alias("subject"), "m.v", "line_no", "pos").groupBy("doc_id", "subject").agg(F.min_by("v", F.struct("line_no", "pos")).alias("value"))
     return first
@@ -117,6 +120,58 @@ def drift(notes: DataFrame, claims: DataFrame) -> DataFrame:
     return c.where(F.col("old").isNotNull() & (F.col("old") != F.col("new")))
 
 
+STATUS = r"\b([A-Za-z][A-Za-z0-9_-]{2,24}(?:\s+[A-Za-z][A-Za-z0-9_-]{2,20})?)\s+is\s+(?:currently\s+|now\s+)?(enabled|disabled|deprecated|active|required|optional|supported|unsupported)\b"
+#: Both ends of each scale of states; a note that says one end contradicts a note that says the other.
+SCALES = {"enabled": ("enabled", "disabled"), "active": ("active", "deprecated"), "required": ("required", "optional"), "supported": ("supported", "unsupported")}
+GENERIC = tuple("step part page line item section chapter figure table note example option phase stage day week month year point rule level type case group number count total index id".split())
+
+
+def status_claims(notes: DataFrame) -> DataFrame:
+    """doc_id, subject, value: the first status claim of each subject (its last two words that say something) in a note, in lines outside code."""
+    at = outside_fences(lines_like(notes, r"(?i)\sis\s+(?:currently\s+|now\s+)?(?:enabled|disabled|deprecated|active|required|optional|supported|unsupported)\b", "doc_id")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where(F.length("line") <= 300)
+    found = F.arrays_zip(*(F.regexp_extract_all("line", F.lit("(?i)" + STATUS), F.lit(k)).alias(c) for k, c in ((1, "s"), (2, "v"))))
+    hit = at.select("doc_id", "line_no", F.posexplode(found).alias("pos", "m"))
+    words = F.filter(F.split(F.regexp_replace(F.lower("m.s"), r"[\s*_-]+$", ""), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*T.STOP))
+    hit = hit.withColumn("w", words).withColumn("subject", F.array_join(F.slice("w", F.greatest(F.size("w") - 1, F.lit(1)), 2), " "))
+    hit = hit.where((F.length("subject") >= 3) & ~F.col("subject").isin(*GENERIC))
+    return hit.groupBy("doc_id", "subject").agg(F.min_by(F.lower("m.v"), F.struct("line_no", "pos")).alias("value"))
+
+
+def relations(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, relation, key: two notes are related if they have one (relation, key) in common. edges: a, b (paths).
+
+    A folder (not the root), a tag or one of the twelve most frequent terms is a key; a link is one that its two ends have.
+    """
+    row = lambda df, relation, key: df.select("doc_id", F.lit(relation).alias("relation"), F.col(key).alias("key"))
+    link = F.concat(F.least("a", "b"), F.lit("\n"), F.greatest("a", "b")).alias("link")
+    ends = edges.select(link, F.explode(F.array("a", "b")).alias("path")).distinct().join(notes.select("doc_id", "path"), "path")
+    parts = row(notes.where("folder <> ''"), "folder", "folder"), row(N.tags(notes, "doc_id"), "tag", "tag"), row(N.top_terms(notes, k=12), "term", "term"), row(ends, "link", "link")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def related_drift(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, subject, relation, key, scale, value, first, path, mtime: the notes that say a value, of all subjects on which related notes differ.
+
+    Two rows that agree in kind, subject, relation, key and scale and differ in value are a drift between their two notes, the one with the
+    lesser (mtime, path) the older: every differing pair can be read off, and rows grow with claims, not with pairs. ``first`` is the
+    value's oldest note. Statuses are compared on their scale only.
+    """
+    scale = F.create_map(*(F.lit(x) for name, ends in SCALES.items() for end in ends for x in (end, name)))
+    claims = metric_claims(notes).select(F.lit("metric-drift").alias("kind"), F.lit("").alias("scale"), "doc_id", "subject", "value")
+    claims = claims.unionByName(status_claims(notes).select(F.lit("status-conflict").alias("kind"), scale[F.col("value")].alias("scale"), "doc_id", "subject", "value"))
+    # a subject on which all notes agree can't drift: it is left out before claims meet relations
+    claims = cut(claims, "claims")
+    group = ["kind", "subject", "scale"]
+    open_ = claims.groupBy(group).agg(F.min("value").alias("_x"), F.max("value").alias("_y")).where("_x <> _y").select(group)
+    said = claims.join(open_, group).join(notes.select("doc_id", "path", "mtime"), "doc_id")
+    said = cut(said, "said")
+    rows = cut(said.join(relations(notes.join(said.select("doc_id"), "doc_id", "left_semi"), edges), "doc_id"), "related")
+    group += ["relation", "key"]
+    values = rows.groupBy(*group, "value").agg(F.min(F.struct(F.col("mtime").isNotNull().alias("dated"), "mtime", "path"))["path"].alias("first"))
+    differ = rows.groupBy(group).agg(F.min("value").alias("_x"), F.max("value").alias("_y")).where("_x <> _y").select(group)
+    return rows.join(differ, group).join(values, [*group, "value"]).select("kind", "subject", "relation", "key", "scale", "value", "first", "path", "mtime")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, blocks: int = 8) -> DataFrame:
     """id, neighbour, similarity, rank: the k nearest by cosine of each query among all vectors (exact).
 

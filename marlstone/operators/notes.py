@@ -24,9 +24,17 @@ def lines(df: DataFrame, *carried: str) -> DataFrame:
     return df.select(*carried, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumns({"line_no": F.col("line_no") + 1, "line": F.regexp_replace("line", "\r$", "")})
 
 
+FENCE = r"^\s*(```|~~~)"
+
+
+def lines_like(df: DataFrame, pattern: str, *carried: str) -> DataFrame:
+    """Lines in which the pattern is found, and those that outside_fences needs: only they go through its window."""
+    return lines(df, *carried).where(F.regexp_like("line", F.lit(pattern)) | F.regexp_like("line", F.lit(FENCE)))
+
+
 def outside_fences(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines that are in no code fence: the number of fence lines up to a line is even. Fences pair within one text, so the window is a text's own."""
-    fence = F.regexp_like(F.col("line"), F.lit(r"^\s*(```|~~~)"))
+    fence = F.regexp_like(F.col("line"), F.lit(FENCE))
     open_ = F.sum(fence.cast("int")).over(W.partitionBy(key).orderBy("line_no"))
     return df.withColumns({"_fence": fence, "_open": open_}).where(~F.col("_fence") & (F.col("_open") % 2 == 0)).drop("_fence", "_open")
 

@@ -357,6 +357,30 @@ def _drift(spark: SparkSession, d: str) -> DataFrame:
     return I.drift(n, I.metric_claims(n))
 
 
+_list = lambda words: ", ".join(f"'{_q(w)}'" for w in words)
+_SCALE_SQL = "CASE " + " ".join(f"WHEN value IN ({_list(ends)}) THEN '{name}'" for name, ends in I.SCALES.items()) + " END"
+_RELATED = _CLAIMS + "".join(x.removeprefix(NOTES) for x in (TERMS, PROPS, LINKS)) + f""", sl AS (SELECT doc_id, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM oc),
+sm AS (SELECT doc_id, line_no, regexp_extract_all(line, '(?i){_q(I.STATUS)}', 1) AS s, regexp_extract_all(line, '(?i){_q(I.STATUS)}', 2) AS v FROM sl WHERE length(line) <= 300),
+sx AS (SELECT doc_id, line_no, unnest(range(len(s))) AS pos, lower(unnest(s)) AS s, lower(unnest(v)) AS value FROM sm),
+sw AS (SELECT *, [w FOR w IN regexp_split_to_array(regexp_replace(s, '[\\s*_-]+$', ''), '\\s+') IF length(w) > 1 AND w NOT IN ({_list(T.STOP)})] AS w FROM sx),
+sj AS (SELECT *, array_to_string(w[greatest(len(w) - 1, 1):], ' ') AS subject FROM sw),
+sf AS (SELECT doc_id, subject, arg_min(value, (line_no, pos)) AS value FROM sj WHERE length(subject) >= 3 AND subject NOT IN ({_list(I.GENERIC)}) GROUP BY 1, 2),
+ac AS (SELECT 'metric-drift' AS kind, '' AS scale, doc_id, subject, value FROM cf UNION ALL SELECT 'status-conflict', {_SCALE_SQL}, doc_id, subject, value FROM sf),
+own AS (SELECT lower(stem) AS name, min(path) AS node FROM m GROUP BY 1),
+ed AS (SELECT DISTINCT least(m.path, own.node) AS a, greatest(m.path, own.node) AS b FROM lk JOIN m USING (doc_id) JOIN own ON own.name = lower(regexp_extract(target, '([^/]*)$', 1)) WHERE m.path <> own.node),
+rl AS (SELECT doc_id, 'folder' AS relation, folder AS key FROM m WHERE folder <> '' UNION ALL SELECT doc_id, 'tag', tag FROM tg WHERE tag <> '' UNION ALL SELECT doc_id, 'term', term FROM top WHERE rank <= 12
+ UNION ALL SELECT m.doc_id, 'link', concat(a, chr(10), b) FROM ed JOIN m ON m.path IN (a, b)),
+rr AS (SELECT kind, subject, relation, key, scale, value, path, mtime FROM ac JOIN rl USING (doc_id) JOIN m USING (doc_id)),
+rd AS (SELECT *, min(value) OVER g AS x, max(value) OVER g AS y, first_value(path) OVER (PARTITION BY kind, subject, relation, key, scale, value ORDER BY mtime NULLS FIRST, path) AS first FROM rr WINDOW g AS (PARTITION BY kind, subject, relation, key, scale))
+"""
+
+
+@query("jon08_related_drift", _RELATED + "SELECT kind, subject, relation, key, scale, value, first, path, mtime FROM rd WHERE x <> y")
+def _related_drift(spark: SparkSession, d: str) -> DataFrame:
+    """All drift between related notes; jon08_drift has each claim and the one before it in its folder."""
+    return I.related_drift(N.notes(spark, d), _resolved(spark, d))
+
+
 @query("cnd01_similar_pairs", NOTES + r""", r AS (SELECT md5(text) AS h, min(doc_id) AS doc_id FROM m GROUP BY 1), w AS (SELECT m.doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM m JOIN r USING (doc_id)),
 s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM w WHERE len(w) >= 5), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)

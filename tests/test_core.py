@@ -82,6 +82,24 @@ def test_tasks_fences_and_secrets(spark):
     assert "AKIA" not in clean and "hunter2" not in clean and "password: " in clean
 
 
+def test_related_drift_keeps_every_pair(spark):
+    rows = [
+        ("a/1.md", "a", "latency: 1"), ("a/2.md", "a", "latency: 2"), ("a/3.md", "a", "latency: 3"),
+        ("b/4.md", "b", "---\ntags: [perf]\n---\nquota = 4"), ("c/5.md", "c", "---\ntags: [perf]\n---\nquota = 5"),
+        ("d/6.md", "d", "ttl = 6 [[7]]"), ("e/7.md", "e", "ttl = 7"),
+        ("f/8.md", "f", "The new cache is now enabled here"), ("f/9.md", "f", "new cache is disabled"), ("f/10.md", "f", "new cache is required"),
+        ("11.md", "", "kk = 1"), ("12.md", "", "kk = 2"),
+    ]
+    n = spark.createDataFrame([(i, p, f, p.split("/")[-1][:-3], "", "", "", t, None) for i, (p, f, t) in enumerate(rows)], "doc_id long, path string, folder string, stem string, title string, source string, lang string, text string, mtime timestamp")
+    edges = spark.createDataFrame([("d/6.md", "e/7.md"), ("e/7.md", "d/6.md")], "a string, b string")
+    got = I.related_drift(n, edges).collect()
+    pairs = {(x.relation, x.subject, x.path, y.path) for x in got for y in got if (x.kind, x.subject, x.relation, x.key, x.scale) == (y.kind, y.subject, y.relation, y.key, y.scale) and x.value != y.value and x.path < y.path}
+    assert {p for p in pairs if p[0] == "folder"} == {("folder", "latency", "a/1.md", "a/2.md"), ("folder", "latency", "a/1.md", "a/3.md"), ("folder", "latency", "a/2.md", "a/3.md"), ("folder", "new cache", "f/8.md", "f/9.md")}
+    assert {p for p in pairs if p[0] in ("tag", "link")} == {("tag", "quota", "b/4.md", "c/5.md"), ("link", "ttl", "d/6.md", "e/7.md")}
+    assert ("term", "quota", "b/4.md", "c/5.md") in pairs and not any("kk" in p for p in pairs)
+    assert len(got) == len(set(got))
+
+
 def test_similar_pairs_against_brute_force(spark):
     import re
 
