@@ -15,7 +15,6 @@ from ..operators import intel as I
 from ..operators import notes as N
 from ..operators import pack as P
 from ..operators import select as S
-from ..operators.components import components
 from ..operators.incremental import path_key
 from ..shared import lookup, need, table
 from ..sources.frontmatter import as_json
@@ -391,7 +390,7 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
 
 @query("set01_similar_groups")
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return components(I.similar_pairs(N.notes(spark, d)))
+    return I.similar_groups(N.notes(spark, d))
 
 
 @query("jon06_nearest", """WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), a AS (SELECT vec_id AS neighbour, embedding::DOUBLE[] AS v FROM embeddings),

@@ -114,6 +114,13 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def test_similar_groups_have_every_copy(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = ["alone in this", base + " x", base, "short", "short", base, "short"]
+    got = {r.doc_id: (r.component, r.representative, r.links) for r in I.similar_groups(notes(spark, *texts)).collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 2, 2), 5: (1, 2, 2), 3: (3, 3, 2), 4: (3, 3, 2), 6: (3, 3, 2)}
+
+
 def test_packing_and_budget(spark):
     df = spark.createDataFrame([("f", i, 100) for i in range(5)] + [("g", 9, 900)], "g string, i long, s long")
     parts = {(r.g, r.i): r.part for r in P.next_fit(df, "g", "i", "s", 250).collect()}
