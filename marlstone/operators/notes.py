@@ -115,3 +115,36 @@ def open_tasks(df: DataFrame) -> DataFrame:
     task = task.withColumn("text", F.trim(T.strip_inline_markup(F.col("raw")))).where(F.length("text").between(4, 220))
     high = F.regexp_like(F.lower("line"), F.lit(r"(urgent|blocker|asap|high|!!|important|critical)"))
     return task.groupBy(F.lower("text").alias("text")).agg(F.count_distinct("doc_id").alias("notes"), F.max(F.when(F.col("mark") == "/", "in-progress").otherwise("task")).alias("kind"), F.max(F.when(high, 1).otherwise(0)).alias("high"))
+
+
+TASK = r"^\s*(?:[-*+]|[0-9]+[.)])\s+\[([ /?])\]\s+(.+)$"
+MARKER = r"(?i)^(?:[-*+]\s+)?(?:TODO|FIXME|QUESTION|BLOCKER|❓)\s*[:—-]?\s+(.+)$"
+HEADING = r"^#{1,6}\s+"
+QUESTION_HEADING = r"(?i)^#{1,6}\s+.*\b(open\s+questions?|questions?|unresolved|blockers?|unknowns?)\b"
+HIGH = r"(?i)🔥|⏫|🔺|\[!?(?:high|urgent|blocker|p0|p1)\]|#(?:urgent|high|blocker)\b|\b(?:FIXME|BLOCKER)\b"
+
+
+def open_items(df: DataFrame) -> DataFrame:
+    """text, kind, notes, high: task boxes, marker lines and question lines below a heading of open questions, outside code and frontmatter, once per note.
+
+    open_tasks has the boxes alone. The heading that a line is under is the last one before it in its note.
+    """
+    body = df.select("doc_id", F.regexp_replace("text", FRONT.replace("(", "(?:", 1), "").alias("text"))
+    t = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    like = lambda c, p: F.regexp_like(c, F.lit(p))
+    # what can be no item, heading or fence is left out before the windows
+    at = lines_like(body, r"^\s*(?:#{1,6}\s|(?:[-*+]|[0-9]+[.)])\s+\[[ /?]\]\s)|(?i)^\s*(?:[-*+]\s+)?(?:TODO|FIXME|QUESTION|BLOCKER|❓)|\?", "doc_id")
+    at = outside_fences(at).withColumn("trimmed", t(F.col("line"))).withColumn("head", like("trimmed", HEADING))
+    under = F.last(F.when(F.col("head"), like("trimmed", QUESTION_HEADING)), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("line_no"))
+    at = at.withColumn("asked", F.coalesce(under, F.lit(False))).where(~F.col("head"))
+    box, marker = like("line", TASK), like("trimmed", MARKER)
+    rule = F.when(box, 1).when(marker, 2).when(F.col("asked"), 3)
+    raw = F.when(box, F.regexp_extract("line", TASK, 2)).when(marker, F.regexp_extract("trimmed", MARKER, 1)).otherwise(F.regexp_replace("trimmed", r"^(?:[-*+]|[0-9]+[.)])\s+", ""))
+    at = at.select("doc_id", "line", rule.alias("rule"), F.regexp_extract("line", TASK, 1).alias("mark"), "trimmed", t(T.strip_inline_markup(t(raw))).alias("text")).where("rule IS NOT NULL")
+    size, asks = F.length("text"), F.col("text").endswith("?")
+    at = at.where(F.when(F.col("rule") == 1, size.between(4, 220)).when(F.col("rule") == 2, size.between(6, 240)).otherwise(asks & size.between(12, 240)))
+    # as in the engine, a question mark sign anywhere makes a marker line a question
+    question = (F.col("rule") == 3) | ((F.col("rule") == 2) & (asks | like("trimmed", r"(?i)^question|❓")))
+    kind = F.when(F.max(F.when(F.col("mark") == "/", 0).otherwise(1)) == 0, "in-progress").otherwise("task")
+    g = at.groupBy(F.lower("text").alias("text"), question.alias("question"))
+    return g.agg(F.count_distinct("doc_id").alias("notes"), kind.alias("kind"), F.max(like("line", HIGH).cast("int")).alias("high")).select("text", F.when(F.col("question"), "question").otherwise(F.col("kind")).alias("kind"), "notes", "high")

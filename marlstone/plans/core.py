@@ -180,6 +180,26 @@ def _tasks(spark: SparkSession, d: str) -> DataFrame:
     return N.open_tasks(N.notes(spark, d))
 
 
+_T = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_M = lambda c, p: f"regexp_matches({c}, '{_q(p)}')"
+
+
+@query("agg11_open_items", NOTES + rf""", ib AS (SELECT doc_id, string_split(regexp_replace(text, '^---\r?\n[\s\S]*?\r?\n---', ''), chr(10)) AS l FROM m),
+il AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, regexp_replace(unnest(l), '\r$', '') AS line FROM ib),
+ig AS (SELECT *, {_M("line", N.FENCE)} AS fence, {_T("line")} AS tr FROM il),
+io AS (SELECT *, {_M("tr", N.HEADING)} AS head FROM (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS o FROM ig) WHERE NOT fence AND o % 2 = 0),
+iu AS (SELECT *, last_value(CASE WHEN head THEN {_M("tr", N.QUESTION_HEADING)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS asked FROM io),
+ir AS (SELECT doc_id, line, tr, regexp_extract(line, '{_q(N.TASK)}', 1) AS mark, CASE WHEN {_M("line", N.TASK)} THEN 1 WHEN {_M("tr", N.MARKER)} THEN 2 WHEN asked THEN 3 END AS rule FROM iu WHERE NOT head),
+ix AS (SELECT *, {_T("CASE rule WHEN 1 THEN regexp_extract(line, '" + _q(N.TASK) + "', 2) WHEN 2 THEN regexp_extract(tr, '" + _q(N.MARKER) + "', 1) ELSE regexp_replace(tr, '^(?:[-*+]|[0-9]+[.)])\s+', '') END")} AS x FROM ir WHERE rule IS NOT NULL),
+iy AS (SELECT *, {_T(_STRIP)} AS t FROM ix),
+iz AS (SELECT *, rule = 3 OR rule = 2 AND (ends_with(t, '?') OR regexp_matches(tr, '(?i)^question|❓')) AS question FROM iy
+ WHERE CASE rule WHEN 1 THEN length(t) BETWEEN 4 AND 220 WHEN 2 THEN length(t) BETWEEN 6 AND 240 ELSE ends_with(t, '?') AND length(t) BETWEEN 12 AND 240 END)
+SELECT lower(t) AS text, CASE WHEN question THEN 'question' WHEN bool_and(mark = '/') THEN 'in-progress' ELSE 'task' END AS kind, count(DISTINCT doc_id) AS notes, max({_M("line", N.HIGH)}::INT) AS high FROM iz GROUP BY lower(t), question""")
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """All three rules of AGG-11; agg11_open_tasks has the first."""
+    return N.open_items(N.notes(spark, d))
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Shared tags as links from a note to the tag: what links there are in the test tables' notes mostly lead nowhere."""
     t = N.tags(N.notes(spark, d), "path")

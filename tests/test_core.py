@@ -82,6 +82,16 @@ def test_tasks_fences_and_secrets(spark):
     assert "AKIA" not in clean and "hunter2" not in clean and "password: " in clean
 
 
+def test_open_items_have_all_rules(spark):
+    n = notes(
+        spark,
+        "---\ntodo: not an item\n---\n- [/] begun work\n1. [ ] numbered #urgent\nTODO: write the tests\nIs this asked outside?\n## Open questions\n- Why is the **queue** full?\nno question line\n```\nIs this one in code?\n```\n# Notes\nIs this under another heading?",
+        "# Blockers\nWhy is the queue full?\nshort?\n- FIXME the broken index\nquestion: who owns the build",
+    )
+    got = {(r.text, r.kind, r.notes, r.high) for r in N.open_items(n).collect()}
+    assert got == {("begun work", "in-progress", 1, 0), ("numbered #urgent", "task", 1, 1), ("write the tests", "task", 1, 0), ("why is the queue full?", "question", 2, 0), ("the broken index", "task", 1, 1), ("who owns the build", "question", 1, 0)}
+
+
 def test_related_drift_keeps_every_pair(spark):
     rows = [
         ("a/1.md", "a", "latency: 1"), ("a/2.md", "a", "latency: 2"), ("a/3.md", "a", "latency: 3"),
