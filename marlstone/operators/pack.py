@@ -32,7 +32,12 @@ def running_total(df: DataFrame, value: Column, order: list[Column], block: Colu
 
 
 def citation_ids(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with ``citation`` S01, S02 ... in order. Numbers are counted per range-sorted partition and offset by the partitions before."""
+    """df with ``citation`` S01, S02 ... in order."""
+    return ordinals(df, order).withColumn("citation", F.format_string("S%02d", "ordinal")).drop("ordinal")
+
+
+def ordinals(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with ``ordinal`` 1, 2 ... in order. Numbers are counted per range-sorted partition and offset by the partitions before."""
     spark = df.sparkSession
     part = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
     # the id's upper bits are the partition, the lower ones count its rows
@@ -42,7 +47,7 @@ def citation_ids(df: DataFrame, order: list[Column]) -> DataFrame:
     part = cut(part.withColumn("_i", local), "numbered")
     sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return part.join(F.broadcast(before), "_p").withColumn("citation", F.format_string("S%02d", F.col("_before") + F.col("_i") + 1)).drop("_p", "_i", "_before")
+    return part.join(F.broadcast(before), "_p").withColumn("ordinal", F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
 
 
 def budget_ladder(df: DataFrame, budget: int, tokens: str = "tokens", ratio: float = 0.35, per_note: int = 0) -> DataFrame:

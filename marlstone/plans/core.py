@@ -190,7 +190,7 @@ ig AS (SELECT *, {_M("line", N.FENCE)} AS fence, {_T("line")} AS tr FROM il),
 io AS (SELECT *, {_M("tr", N.HEADING)} AS head FROM (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS o FROM ig) WHERE NOT fence AND o % 2 = 0),
 iu AS (SELECT *, last_value(CASE WHEN head THEN {_M("tr", N.QUESTION_HEADING)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS asked FROM io),
 ir AS (SELECT doc_id, line, tr, regexp_extract(line, '{_q(N.TASK)}', 1) AS mark, CASE WHEN {_M("line", N.TASK)} THEN 1 WHEN {_M("tr", N.MARKER)} THEN 2 WHEN asked THEN 3 END AS rule FROM iu WHERE NOT head),
-ix AS (SELECT *, {_T("CASE rule WHEN 1 THEN regexp_extract(line, '" + _q(N.TASK) + "', 2) WHEN 2 THEN regexp_extract(tr, '" + _q(N.MARKER) + "', 1) ELSE regexp_replace(tr, '^(?:[-*+]|[0-9]+[.)])\s+', '') END")} AS x FROM ir WHERE rule IS NOT NULL),
+ix AS (SELECT *, {_T("CASE rule WHEN 1 THEN regexp_extract(line, '" + _q(N.TASK) + "', 2) WHEN 2 THEN regexp_extract(tr, '" + _q(N.MARKER) + "', 1) ELSE regexp_replace(tr, '^(?:[-*+]|[0-9]+[.)])\\s+', '') END")} AS x FROM ir WHERE rule IS NOT NULL),
 iy AS (SELECT *, {_T(_STRIP)} AS t FROM ix),
 iz AS (SELECT *, rule = 3 OR rule = 2 AND (ends_with(t, '?') OR regexp_matches(tr, '(?i)^question|❓')) AS question FROM iy
  WHERE CASE rule WHEN 1 THEN length(t) BETWEEN 4 AND 220 WHEN 2 THEN length(t) BETWEEN 6 AND 240 ELSE ends_with(t, '?') AND length(t) BETWEEN 12 AND 240 END)
@@ -301,8 +301,9 @@ def _value(spark: SparkSession, d: str) -> DataFrame:
 
 @query("srt02_natural_order")
 def _natural(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred first notes as people would sort them (a top-k report)."""
-    return N.notes(spark, d).orderBy(T.natural_key(F.col("path")), "path", "doc_id").limit(100).select("doc_id", "path")
+    """The place of every note when they are sorted as people would."""
+    n = N.notes(spark, d).select("doc_id", "path", T.natural_order(F.col("path")).alias("_k"))
+    return P.ordinals(n, [F.asc("_k"), F.asc("path"), F.asc("doc_id")]).select("doc_id", "path", "ordinal")
 
 
 @query("srt04_note_cap", NOTES + f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_WORDS} DESC, path, doc_id) <= 500 THEN 'keep' ELSE 'drop' END AS action FROM m")

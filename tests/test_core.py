@@ -92,6 +92,16 @@ def test_open_items_have_all_rules(spark):
     assert got == {("begun work", "in-progress", 1, 0), ("numbered #urgent", "task", 1, 1), ("write the tests", "task", 1, 0), ("why is the queue full?", "question", 2, 0), ("the broken index", "task", 1, 1), ("who owns the build", "question", 1, 0)}
 
 
+def test_natural_order_numbers_all_notes(spark, tmp_path):
+    from marlstone.plans.core import QUERIES
+
+    paths = ["a!", "a1", "note 1", "note 01", "note 2", "note 10", "run 20251201123044", "run 20251201123045", "run 120251201123045", *(f"z{i}.md" for i in range(150))]
+    rows = [(len(paths) - i, p, "t", None, None, "x", None) for i, p in enumerate(paths)]
+    spark.createDataFrame(rows, "doc_id long, path string, title string, source string, lang string, text string, mtime timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["srt02_natural_order"](spark, str(tmp_path)).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.ordinal)] == ["a1", "a!", *paths[2:]] and sorted(r.ordinal for r in got) == list(range(1, len(paths) + 1))
+
+
 def test_related_drift_keeps_every_pair(spark):
     rows = [
         ("a/1.md", "a", "latency: 1"), ("a/2.md", "a", "latency: 2"), ("a/3.md", "a", "latency: 3"),
