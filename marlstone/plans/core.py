@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import transforms as X
 from ..operators import graph as G
 from ..operators import intel as I
 from ..operators import notes as N
@@ -299,6 +300,40 @@ def _value(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(F.broadcast(most)).select("doc_id", F.round(score, 6).alias("value"))
 
 
+_C = lambda p: f"len(regexp_extract_all(text, '{_q(p)}'))"
+_HEAD, _LIST, _TASK, _LNK, _CODE = r"(?m)^ {0,3}#{1,6} ", r"(?m)^\s*[-*+] ", r"(?m)^\s*[-*+] \[[ xX/-]\] ", r"\[\[[^\]\n]+\]\]", r"(?m)^\s*(?:```|~~~)"
+
+
+def _signal_of() -> F.Column:
+    t = F.col("text")
+    c = lambda p: T.count(t, p)
+    return X.signal(T.count_words(t), c(_LNK), c(_HEAD), c(_CODE) > 0, c(_LIST), c(_TASK), F.size(F.split(t, "\n", -1)))
+
+
+def _centrality(spark: SparkSession, d: str) -> DataFrame:
+    """path, centrality: PageRank over all notes and the links between them, divided by the largest. Notes without links have the base rank."""
+    r = G.pagerank(N.notes(spark, d).select(F.col("path").alias("node")).distinct(), _resolved(spark, d))
+    return r.select(F.col("node").alias("path"), F.col("rank").alias("centrality"))
+
+
+_OWN = """, own AS (SELECT lower(stem) AS name, min(path) AS node FROM m GROUP BY 1),
+ e AS (SELECT DISTINCT m.path AS a, own.node AS b FROM lk JOIN m USING (doc_id) JOIN own ON own.name = lower(regexp_extract(target, '([^/]*)$', 1)) WHERE m.path <> own.node), v AS (SELECT DISTINCT path AS node FROM m)"""
+_SIGNAL = f"""greatest(0, least(1, least(1, log10(greatest(1, w) + 1) / 2.6) * 0.5 + CASE WHEN w > 0 THEN 0.24 ELSE 0 END + least(1, (h * 0.12 + CASE WHEN k > 0 THEN 0.25 ELSE 0 END) / 0.9) * 0.26
+  - least(0.55, CASE WHEN w > 0 THEN l / greatest(1, w / 20) ELSE 0 END * 0.3 + li / greatest(n, 1) * 0.2 + t / greatest(n, 1) * 0.35)))"""
+
+
+@query("srt01_note_value", LINKS + _OWN + _PR.removeprefix(_EDGES) + f""", sc AS (SELECT doc_id, {_WORDS} AS w, {_C(_LNK)} AS l, {_C(_HEAD)} AS h, {_C(_CODE)} AS k, {_C(_LIST)} AS li, {_C(_TASK)} AS t, len(string_split(text, chr(10))) AS n, mtime, path FROM m),
+sg AS (SELECT doc_id, path, w, max(w) OVER () AS mw, coalesce(epoch(TIMESTAMPTZ '{AS_OF} 00:00:00+00') - floor(epoch(mtime)), 86400 * 3650) / 86400 AS age, {_SIGNAL} AS signal FROM sc)
+SELECT doc_id, round(signal + rank / (SELECT max(rank) FROM r20) + 0.6 * pow(0.5, greatest(age, 0) / 180) + 0.3 * log10(w + 1) / greatest(log10(mw + 1), 1e-9), 6) AS value FROM sg JOIN r20 ON r20.node = path""")
+def _note_value(spark: SparkSession, d: str) -> DataFrame:
+    """The value with all four terms; srt01_value_order has age and length only."""
+    n = N.notes(spark, d).select("doc_id", "path", "mtime", T.count_words(F.col("text")).alias("words"), _signal_of().alias("signal"))
+    most = n.agg(F.max("words").alias("_m"))
+    age = F.coalesce(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("mtime"), F.lit(86400 * 3650)) / 86400
+    score = S.value_score(F.col("signal"), F.col("centrality"), age, F.col("words"), F.col("_m"))
+    return n.join(_centrality(spark, d), "path").crossJoin(F.broadcast(most)).select("doc_id", F.round(score, 6).alias("value"))
+
+
 @query("srt02_natural_order")
 def _natural(spark: SparkSession, d: str) -> DataFrame:
     """The place of every note when they are sorted as people would."""
@@ -539,10 +574,10 @@ def export_slice(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d)
     first = n.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     n = n.join(first.select("doc_id"), "doc_id", "left_semi")
-    sized = n.select("doc_id", "path", "source", "mtime", T.count_words(F.col("text")).alias("words"), T.estimate_tokens(F.col("text")).alias("tokens")).where("words >= 8")
+    sized = n.select("doc_id", "path", "source", "mtime", T.count_words(F.col("text")).alias("words"), T.estimate_tokens(F.col("text")).alias("tokens"), _signal_of().alias("signal")).where("words >= 8")
     most = sized.agg(F.max("words").alias("_m"))
     age = F.coalesce(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("mtime"), F.lit(86400 * 3650)) / 86400
-    scored = sized.crossJoin(F.broadcast(most)).withColumn("value", F.round(S.value_score(F.lit(0.0), F.lit(0.0), age, F.col("words"), F.col("_m")), 6))
+    scored = sized.join(_centrality(spark, d), "path").crossJoin(F.broadcast(most)).withColumn("value", F.round(S.value_score(F.col("signal"), F.col("centrality"), age, F.col("words"), F.col("_m")), 6))
     order = [F.desc("value"), F.asc("path"), F.asc("doc_id")]
     packed = P.running_total(scored, F.col("tokens"), order, -F.floor(F.col("value") * 200))
     cited = P.citation_ids(packed, order)

@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..operators import notes as N
 from ..operators import select as S
 from ..shared import need, table
-from .core import _EDGES, _WORDS, AS_OF, LINKS, NOTES, PROPS, _edges, _q
+from .core import _C, _CODE, _EDGES, _HEAD, _LIST, _LNK, _TASK, _WORDS, AS_OF, LINKS, NOTES, PROPS, _edges, _q, _signal_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,18 +51,11 @@ def _shift(spark: SparkSession, d: str) -> DataFrame:
     return N.notes(spark, d).select("doc_id", F.md5(X.shift_headings(F.col("text"), 1)).alias("text"))
 
 
-_C = lambda p: f"len(regexp_extract_all(text, '{_q(p)}'))"
-_HEAD, _LIST, _TASK, _LNK, _CODE = r"(?m)^ {0,3}#{1,6} ", r"(?m)^\s*[-*+] ", r"(?m)^\s*[-*+] \[[ xX/-]\] ", r"\[\[[^\]\n]+\]\]", r"(?m)^\s*(?:```|~~~)"
-
-
 @query("mth01_signal", NOTES + f""", c AS (SELECT doc_id, {_WORDS} AS w, {_C(_LNK)} AS l, {_C(_HEAD)} AS h, {_C(_CODE)} AS k, {_C(_LIST)} AS li, {_C(_TASK)} AS t, len(string_split(text, chr(10))) AS n FROM m)
 SELECT doc_id, round(greatest(0, least(1, least(1, log10(greatest(1, w) + 1) / 2.6) * 0.5 + CASE WHEN w > 0 THEN 0.24 ELSE 0 END + least(1, (h * 0.12 + CASE WHEN k > 0 THEN 0.25 ELSE 0 END) / 0.9) * 0.26
  - least(0.55, CASE WHEN w > 0 THEN l / greatest(1, w / 20) ELSE 0 END * 0.3 + li / greatest(n, 1) * 0.2 + t / greatest(n, 1) * 0.35))), 6) AS signal FROM c""")
 def _signal(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    c = lambda p: T.count(t, p)
-    s = X.signal(T.count_words(t), c(_LNK), c(_HEAD), c(_CODE) > 0, c(_LIST), c(_TASK), F.size(F.split(t, "\n", -1)))
-    return N.notes(spark, d).select("doc_id", F.round(s, 6).alias("signal"))
+    return N.notes(spark, d).select("doc_id", F.round(_signal_of(), 6).alias("signal"))
 
 
 @query("flt04_tags", PROPS + "SELECT doc_id FROM m WHERE doc_id IN (SELECT doc_id FROM tg WHERE tag = 'table' OR starts_with(tag, 'table/')) AND doc_id NOT IN (SELECT doc_id FROM tg WHERE starts_with(tag, 'note'))")

@@ -102,6 +102,16 @@ def test_natural_order_numbers_all_notes(spark, tmp_path):
     assert [r.path for r in sorted(got, key=lambda r: r.ordinal)] == ["a1", "a!", *paths[2:]] and sorted(r.ordinal for r in got) == list(range(1, len(paths) + 1))
 
 
+def test_note_value_counts_links_and_signal(spark, tmp_path):
+    from marlstone.plans.core import QUERIES
+
+    rows = [(i, f"{p}.md", "t", None, None, t, None) for i, (p, t) in enumerate((("a", "one two [[b]]"), ("b", "one two three"), ("c", "# one\n two three")))]
+    spark.createDataFrame(rows, "doc_id long, path string, title string, source string, lang string, text string, mtime timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    v = {r.doc_id: r.value for r in QUERIES["srt01_note_value"](spark, str(tmp_path)).collect()}
+    # b is linked to; b and c differ in rank and in c's heading only
+    assert v[1] > v[2] > v[0] and v[1] > 1
+
+
 def test_related_drift_keeps_every_pair(spark):
     rows = [
         ("a/1.md", "a", "latency: 1"), ("a/2.md", "a", "latency: 2"), ("a/3.md", "a", "latency: 3"),
