@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     now = pairs.where(F.col("u") != F.col("v"))
     before = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, True), False), "cc")
+        last, now = now, cut(_star(_star(now, True), False), "cc")
+        release(last)
         # the table has settled when a round leaves its number of rows and its checksum as they were
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(mark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, release
 
 
 def edge_build(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         dangling = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("_d"))  # one row
         rank = F.lit((1 - damping) / max(size, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("_d") / max(size, 1))
         # each round reads the one before three times, so each is written once
+        before = now
         now = cut(now.join(sent.withColumnRenamed("b", "node"), "node", "left").crossJoin(F.broadcast(dangling)).select("node", "out", rank.alias("rank")), "rank")
+        release(before)
     top = now.agg(F.max("rank").alias("_m"))
     return now.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("_m")).alias("rank"))
 

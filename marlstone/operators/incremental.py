@@ -1,10 +1,9 @@
 """Only what is new or changed since the last run that succeeded.
 
-State is one row per scope (a vault's profile) and key with the hash of the content. ``select_changed`` hashes nothing twice: it joins
-the current rows with the state on (scope, key) and keeps those without a row or with another hash. ``StateStore`` keeps versions of
-the state as tables in a folder; a run reads the version that the pointer names, writes a new one beside it, and moves the pointer
-with one rename. A run that fails before the rename leaves the pointer, so the next run selects the same records again; a run that
-succeeded is never selected again.
+State is one row per scope (a vault's profile) and key with the hash of the content (``with_hash``). ``select_changed`` joins the
+current rows with the state on (scope, key) and keeps those without a row or with another hash. ``StateStore`` keeps versions of the
+state as tables in a folder; a run reads the newest, writes the next one beside it, and publishes it in one atomic step. A run that
+fails before that step leaves the state, so the next run selects the same records again; what a run published is never selected again.
 
 Defined cases: a null scope, key or hash is a value of its own (null-safe comparison); a row with a null hash is selected unless the
 state has a null hash for it; several current rows of one key count once (the last by ``order``, ties by the larger hash); an empty
@@ -13,13 +12,15 @@ state selects all rows, an empty input none.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import fs, lookup, need, shared_dir, table
+from ..shared import fs, lookup, need, table, temporary
 
 #: Spellings of one path differ in the separator and a leading "./".
 LEADING = r"^(\./)+"
@@ -34,6 +35,11 @@ def content_hash(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def with_hash(df: DataFrame, *content: str) -> DataFrame:
+    """df with ``hash`` made here from the content columns: rows are compared by what they hold, not by what was said of them."""
+    return df.withColumn("hash", content_hash(*(F.col(c) for c in content)))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of each key the row that is last by order. Partial aggregation, so a hot key is no hot task; ties are broken by all columns."""
     rest = [c for c in df.columns if c not in keys]
@@ -59,48 +65,105 @@ def select_changed(current: DataFrame, state: DataFrame, scope: str = "scope", k
 
 
 class StateStore:
-    """Versions of the state in a folder, and a pointer to the current one.
+    """Versions of the state in a folder, and a pointer to each.
 
-    ``commit`` writes the new version in full and then renames a small file over the pointer's next number; HDFS, local and object
-    stores with rename refuse or lose nothing if two runs race: the version file of a number can be created once.
+    A version is a number and a token. Its tables are written under the token, where no other run looks, and are published by one atomic
+    step: the pointer file named by the number alone comes to be, with the token in it, if there is none of that name. So of two runs
+    that began from one version exactly one publishes the next; the other's ``commit`` raises Conflict and its tables stay unseen.
+    ``read`` remembers the version it gave: a commit follows the version that was read, not one that came in between.
+
+    Needs a folder whose rename refuses an existing file (HDFS and stores like it), or a file system with hard links (local, NFS).
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._base: int | None = None
 
-    def version(self) -> tuple[int, str] | None:
+    def versions(self) -> list[tuple[int, str]]:
+        """Number and token of all versions, oldest first."""
         system, p = fs(self.spark, f"{self.folder}/_versions")
         if not system.exists(p):
-            return None
-        names = sorted(s.getPath().getName() for s in system.listStatus(p) if not s.getPath().getName().startswith("_"))
-        if not names:
-            return None
-        number, _, token = names[-1].partition("-")
-        return int(number), token
+            return []
+        names = sorted(s.getPath().getName() for s in system.listStatus(p))
+        return [(int(n), self._token(n)) for n in names if n.isdigit()]
+
+    def _token(self, name: str) -> str:
+        system, p = fs(self.spark, f"{self.folder}/_versions/{name}")
+        stream = system.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def version(self) -> tuple[int, str] | None:
+        system, p = fs(self.spark, f"{self.folder}/_versions")
+        names = sorted(n for n in (s.getPath().getName() for s in system.listStatus(p)) if n.isdigit()) if system.exists(p) else []
+        return (int(names[-1]), self._token(names[-1])) if names else None
 
     def read(self, schema: str) -> DataFrame:
-        """The committed state, or an empty one."""
+        """The committed state, or an empty one. The next commit follows the version given here."""
         at = self.version()
+        self._base = at[0] if at else 0
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.folder}/state-{at[1]}")
 
-    def commit(self, state: DataFrame, fail: Callable[[], None] | None = None) -> int:
-        """Swaps in the state. ``fail`` (tests) runs between the write and the swap."""
-        now = self.version()
-        number, token = (now[0] + 1 if now else 1), uuid.uuid4().hex
+    def changes(self, schema: str) -> DataFrame:
+        """What all published runs selected, with ``version``. Records of a run that failed are not in it, whatever the run had written."""
+        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/changes-{t}").withColumn("version", F.lit(n)) for n, t in self.versions() if self._has(f"changes-{t}")]
+        empty = self.spark.createDataFrame([], f"{schema}, version int")
+        return reduce(DataFrame.unionByName, parts, empty)
+
+    def _has(self, name: str) -> bool:
+        system, p = fs(self.spark, f"{self.folder}/{name}")
+        return bool(system.exists(p))
+
+    def commit(self, state: DataFrame, fail: Callable[[], None] | None = None, token: str | None = None) -> int:
+        """Swaps in the state. ``fail`` (tests) runs between the write and the swap. ``token`` names what the run has written already."""
+        if self._base is None:
+            now = self.version()
+            self._base = now[0] if now else 0
+        number, token = self._base + 1, token or uuid.uuid4().hex
         state.write.parquet(f"{self.folder}/state-{token}")
         if fail:
             fail()
+        self._publish(number, token)
+        self._base = number
+        return number
+
+    def _publish(self, number: int, token: str) -> None:
         system, folder = fs(self.spark, f"{self.folder}/_versions")
         system.mkdirs(folder)
-        taken = [s.getPath().getName() for s in system.listStatus(folder) if s.getPath().getName().startswith(f"{number:012d}-")]
-        if taken:
-            raise RuntimeError(f"another run committed version {number} first; this one must be repeated")
-        jvm = self.spark.sparkContext._jvm
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_draft-{token}")
-        system.create(draft, False).close()
-        if not system.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_versions/{number:012d}-{token}")):
-            raise RuntimeError("the pointer could not be moved")
-        return number
+        draft, to = f"{self.folder}/_draft-{token}", f"{self.folder}/_versions/{number:012d}"
+        _, at = fs(self.spark, draft)
+        out = system.create(at, False)
+        out.write(bytearray(token.encode()))
+        out.close()
+        try:
+            if system.getUri().getScheme() == "file":
+                # a local rename would replace a pointer that is there; a hard link can't
+                local = lambda x: self.spark.sparkContext._jvm.java.io.File(fs(self.spark, x)[1].toUri().getPath()).getPath()
+                try:
+                    os.link(local(draft), local(to))
+                except FileExistsError:
+                    raise Conflict(number) from None
+            elif not system.rename(at, fs(self.spark, to)[1]):
+                raise Conflict(number)
+        finally:
+            system.delete(at, False)
+
+    def prune(self, keep: int = 2) -> int:
+        """Deletes the state tables of all but the newest versions (what they selected stays) and says how many."""
+        old = [t for _, t in self.versions()[: -max(1, keep)] if self._has(f"state-{t}")]
+        for t in old:
+            system, p = fs(self.spark, f"{self.folder}/state-{t}")
+            system.delete(p, True)
+        return len(old)
+
+
+class Conflict(RuntimeError):
+    """Another run committed this version first: the run must be repeated."""
+
+    def __init__(self, number: int):
+        super().__init__(f"another run committed version {number} first; this one must be repeated")
 
 
 def merged_state(state: DataFrame, current: DataFrame, scope: str = "scope", key: str = "key", hash_: str = "hash") -> DataFrame:
@@ -129,21 +192,31 @@ def recorded_state(export_runs: DataFrame, manifest_hashes: DataFrame) -> DataFr
     return known.select(F.col("vault").alias("scope"), path_key(F.col("path")).alias("key"), F.lower("content_hash").alias("hash"))
 
 
-def run_once(store: StateStore, current: DataFrame, work: Callable[[DataFrame], None], fail: Callable[[], None] | None = None) -> int:
-    """One run: select, work on what was selected, swap the state. If work or the swap fails the state is as before."""
-    schema = "scope string, key string, hash string"
-    state = store.read(schema)
-    work(select_changed(current, state))
-    return store.commit(merged_state(state, current), fail)
+CHANGES = "scope string, key string, hash string, change string"
+
+
+def run_once(store: StateStore, current: DataFrame, work: Callable[[DataFrame], None] | None = None, fail: Callable[[], None] | None = None) -> int:
+    """One run: select, write what was selected under the run's token, work on it, publish it together with the new state.
+
+    If anything fails before the swap, state and published changes are as before and the next run selects the same records again; after
+    it they are never selected again. What counts as done is what ``store.changes`` has, so a record is in it once even if ``work`` saw
+    it in a run that failed: work with effects of its own should name them by what it is given, not by the time.
+    """
+    state, token = store.read("scope string, key string, hash string"), uuid.uuid4().hex
+    to = f"{store.folder}/changes-{token}"
+    select_changed(current.select("scope", "key", "hash"), state).write.parquet(to)
+    if work:
+        work(store.spark.read.schema(CHANGES).parquet(to))
+    return store.commit(merged_state(state, current), fail, token)
 
 
 def p5_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vault, path, change for the next run of every vault."""
+    """vault, path, change for the next run of every vault. A file's content is known by what its listing says of it, which is hashed on both sides."""
     state = recorded_state(table(spark, sf_dir, "export_runs"), table(spark, sf_dir, "manifest_hashes"))
     # the recorded hashes become the first version of the state, as a run of this engine would have left it
-    store = StateStore(spark, f"{shared_dir(spark)}/marlstone/state-{uuid.uuid4().hex[:12]}")
-    store.commit(state)
-    current = newest_listing(table(spark, sf_dir, "source_files"))
+    store = StateStore(spark, temporary(spark, "state"))
+    store.commit(with_hash(state, "hash"))
+    current = with_hash(newest_listing(table(spark, sf_dir, "source_files")), "hash")
     changed = select_changed(current, store.read("scope string, key string, hash string"))
     return changed.select(F.col("scope").alias("vault"), "path", "change")
 

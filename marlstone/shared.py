@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,20 +17,38 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. Only where it is unset (local tests) a temporary one is made."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; sweep() deletes it."""
+    path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: what follows doesn't depend on executors that may be lost, and nothing is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex[:12]}"
+    path = temporary(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of cut() that nothing reads any more, as loops leave them behind."""
+    for df in tables:
+        path = getattr(df, "_cut", None)
+        if path:
+            system, p = fs(df.sparkSession, path)
+            system.delete(p, True)
+            _written[:] = [w for w in _written if w[1] != path]
 
 
 def fs(spark: SparkSession, path: str):
@@ -79,5 +98,6 @@ LOOKUP_ROWS = 100_000
 
 
 def lookup(df: DataFrame, most: int = LOOKUP_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted, reading no more than that), else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, written once, with a broadcast hint if it has at most so many rows: counting it reads the written table's footers, not what it came from."""
+    df = df if hasattr(df, "_cut") else cut(df, "lookup")
+    return F.broadcast(df) if df.count() <= most else df
