@@ -7,6 +7,8 @@ resolved to plain text. ``render`` writes a tree as clean text in one spelling:
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from hashlib import blake2b
 from html import unescape
@@ -36,41 +38,61 @@ _CALLOUT = re.compile(r"\[!([\w-]+)\][+-]?[ \t]*(.*)$")
 _ITEM = re.compile(r"([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+(\S.*)$")
 _TASK = re.compile(r"\[([ xX/?-])\](?:[ \t]+|$)(.*)$")
 _DELIM = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$|[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*$")
-_DEFINE = re.compile(r" {0,3}\[(?!\^)([^\]\n]{1,200})\]:[ \t]+<?(?:[a-z][a-z0-9+.-]*:|[./#]|www\.)\S*>?(?:[ \t]+[\"'(].*)?[ \t]*$", re.I)
-_FOOTDEF = re.compile(r" {0,3}\[\^([^\]\s]{1,60})\]:[ \t]*(.*)$")
+_DEFINE = re.compile(r" {0,3}\[(?!\^)([^\]\n]+)\]:[ \t]+<?(?:[a-z][a-z0-9+.-]*:|[./#]|www\.)\S*>?(?:[ \t]+[\"'(].*)?[ \t]*$", re.I)
+_FOOTDEF = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
 _SECTION = re.compile(r"[ \t]*\\(part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]\n]*\])?\{")
 _RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 
-#: Inline constructs, tried in this order at each place. Runs are bounded, so no text takes more than linear time.
-_INLINE = re.compile(
-    r"""
-  (?P<comment><!--(?s:.*?)(?:-->|\Z)) | (?P<doctype><!(?:DOCTYPE|doctype)\b[^>\n]{0,200}> | <!\[CDATA\[(?s:.{0,4000}?)\]\]>)
-| (?P<code>(?<!`)(?P<tick>`{1,4})(?!`)(?P<span>(?:[^`\n]|\n(?![ \t]*\n)|(?!(?P=tick)(?!`))`){1,2000}?)(?P=tick)(?!`))
-| (?P<pre><(?P<ptag>pre|script|style)\b[^<>]{0,300}>(?s:.*?)</(?P=ptag)\s*>)
-| (?P<display>\$\$(?P<dbody>(?s:[^$]{1,4000}?))\$\$ | \\\[(?P<bbody>(?s:.{1,4000}?))\\\])
-| (?P<math>\\\((?P<pbody>(?s:.{1,1000}?))\\\) | (?<![\w\\$])\$(?![\s$])(?P<ibody>(?:[^$\n\\]|\\.){1,300}?)(?<!\s)\$(?![\w$]))
-| (?P<env>\\(?P<be>begin|end)\{(?P<ename>[A-Za-z]+\*?)\}(?:\[[^\]\n]{0,100}\]|\{[^}\n]{0,100}\})*)
-| (?P<command>(?<![\\:])\\(?P<cname>[A-Za-z]+)\*?(?:\[[^\]\n]{0,200}\])?(?=\{) | (?<![\\\w:])\\(?P<bare>"""
-    + BARE
-    + r""")(?![A-Za-z{\\]))
-| (?P<wtable>(?:(?<=\n)|\A)\{\|(?s:.*?)\n\|\}) | (?P<template>\{\{(?P<tbody>(?:[^{}]|\{\{(?:[^{}]|\{[^{}]*\})*\}\}|\{(?!\{)[^{}]*\})+)\}\})
-| (?P<wlink>!?(?<![\w\]])\[\[(?P<wbody>[^\[\]\n]{1,500})\]\])
-| (?P<wurl>\[(?P<wu>(?:https?|ftp|mailto):[^\s\]\[]{1,2000})[ \t]+(?P<wlabel>[^\]\[\n]{1,500})\])
-| (?P<foot>\[\^[^\]\s\[]{1,60}\])
-| (?P<image>!\[(?P<alt>[^\]\n]{0,500})\](?:\([^()\n]{0,2000}(?:\([^()\n]{0,500}\)[^()\n]{0,500})?\)|\[[^\]\n]{0,200}\]))
-| (?P<link>(?<![\w\])])\[(?P<label>(?:[^\[\]\n]|\[[^\[\]\n]{0,200}\]){1,500})\]\((?P<target>[^\s()]{0,2000}(?:\([^\s()]{0,500}\)[^\s()]{0,500})?)(?:[ \t]+(?:"[^"\n]{0,300}"|'[^'\n]{0,300}'))?\))
-| (?P<ref>(?<![\w\]])\[(?P<rlabel>[^\[\]\n]{1,300})\]\[(?P<rid>[^\[\]\n]{0,200})\])
-| (?P<auto><(?P<aurl>(?:https?|ftp|mailto):[^\s<>]{1,2000})>)
-| (?P<tag></?[A-Za-z][A-Za-z0-9]{0,14}(?=[\s/>])[^<>]{0,2000}>)
-| (?P<entity>&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)
-| (?P<strike>(?<![~\w])~~(?=[^\s~])(?P<sbody>(?:[^\n~]|\n(?![ \t]*\n)){1,500}?)(?<!\s)~~(?![~\w]))
-| (?P<star>(?<![\w*\\])(?P<sm>\*{1,3})(?![\s*])(?P<stbody>(?:[^\n]|\n(?![ \t]*\n)){0,500}?[^\s*\\])(?P=sm)(?![\w*]))
-| (?P<under>(?<![\w\\])(?P<um>_{1,3})(?![\s_])(?P<ubody>(?:[^\n]|\n(?![ \t]*\n)){0,500}?[^\s_\\])(?P=um)(?![\w]))
-| (?P<quote>(?<!')(?P<qm>'{2,5})(?=[\w\[*"(<])(?P<qbody>(?:[^\n']|'(?!')){1,500}?)(?<=[\w\])*".!?>])(?P=qm)(?!'))
-""",
-    re.X,
-)
-_WORTH = re.compile(r"[<&`$\\{\[*_~']")
+# Where a construct must have ended: in its line, its paragraph, or anywhere.
+_PARA = r"(?:[^\n]|\n(?![ \t]*\n))"
+_BLANK = re.compile(r"\n[ \t]*(?=\n)")
+
+#: Inline constructs by their first character, tried in this order: (name, opening, whole, how far a missing end is missing). A whole may
+#: be of any length. If the opening is there and the whole isn't, no later opening of the name before that end can have one either (what
+#: closes it doesn't depend on where it opened), so it is not looked for again: no text takes more than about linear time. A construct
+#: whose body can't hold its own first character stops at the next one and needs no such note.
+_R = lambda p: re.compile(p, re.X)
+_TICKS = [("code%d" % k, _R(r"(?<!`)`{%d}(?!`)" % k), _R(r"(?P<tick>`{%d})(?!`)(?P<span>(?:[^`\n]|\n(?![ \t]*\n)|(?!(?P=tick)(?!`))`)+?)(?P=tick)(?!`)" % k), "para") for k in (1, 2, 3, 4)]
+_STARS = [("star%d" % k, _R(r"(?<![\w*\\])\*{%d}(?![\s*])" % k), _R(r"\*{%d}(?P<body>%s*?[^\s*\\])\*{%d}(?![\w*])" % (k, _PARA, k)), "para") for k in (1, 2, 3)]
+_UNDERS = [("under%d" % k, _R(r"(?<![\w\\])_{%d}(?![\s_])" % k), _R(r"_{%d}(?P<body>%s*?[^\s_\\])_{%d}(?!\w)" % (k, _PARA, k)), "para") for k in (1, 2, 3)]
+_CONSTRUCTS: dict[str, list[tuple[str, re.Pattern | None, re.Pattern, str]]] = {
+    "<": [
+        ("comment", None, _R(r"<!--(?s:.*?)(?:-->|\Z)"), ""),
+        ("doctype", _R(r"<!(?:DOCTYPE|doctype)\b"), _R(r"<!(?:DOCTYPE|doctype)\b[^>\n]*>"), "line"),
+        ("cdata", _R(r"<!\[CDATA\["), _R(r"<!\[CDATA\[(?s:.*?)\]\]>"), "text"),
+        *((t, _R(rf"<{t}\b"), _R(rf"<(?P<ptag>{t})\b[^<>]*>(?s:.*?)</{t}\s*>"), "text") for t in ("pre", "script", "style")),
+        ("auto", None, _R(r"<(?P<aurl>(?:https?|ftp|mailto):[^\s<>]+)>"), ""),
+        ("tag", None, _R(r"</?[A-Za-z][A-Za-z0-9]*(?=[\s/>])[^<>]*>"), ""),
+    ],
+    "`": _TICKS,
+    "$": [("display", None, _R(r"\$\$(?P<body>[^$]+)\$\$"), ""), ("math", None, _R(r"(?<![\w\\$])\$(?![\s$])(?P<ibody>(?:[^$\n\\]|\\.)+?)(?<!\s)\$(?![\w$])"), "")],
+    "\\": [
+        ("display", _R(r"\\\["), _R(r"\\\[(?P<body>(?s:.+?))\\\]"), "text"),
+        ("paren", _R(r"\\\("), _R(r"\\\((?P<body>(?s:.+?))\\\)"), "text"),
+        ("env", None, _R(r"\\(?P<be>begin|end)\{(?P<ename>[A-Za-z]+\*?)\}"), ""),
+        ("command", None, _R(r"(?<![\\:])\\(?P<cname>[A-Za-z]+)\*?(?=\{)"), ""),
+        ("command", _R(r"(?<![\\:])\\[A-Za-z]+\*?\["), _R(r"(?<![\\:])\\(?P<cname>[A-Za-z]+)\*?\[[^\]\n]*\](?=\{)"), "]"),
+        ("bare", None, _R(rf"(?<![\\\w:])\\(?P<bare>{BARE})(?![A-Za-z{{\\])"), ""),
+    ],
+    "{": [("wtable", _R(r"(?:(?<=\n)|\A)\{\|"), _R(r"\{\|(?s:.*?)\n\|\}"), "text")],
+    "[": [
+        ("wlink", None, _R(r"(?<![\w\]])\[\[(?P<wbody>[^\[\]\n]+)\]\]"), ""),
+        ("wurl", None, _R(r"\[(?P<wu>(?:https?|ftp|mailto):[^\s\]\[]+)[ \t]+(?P<wlabel>[^\]\[\n]+)\]"), ""),
+        ("foot", None, _R(r"\[\^[^\]\s\[]+\]"), ""),
+        ("link", None, _R(r"""(?<![\w\])])\[(?P<label>(?:[^\[\]\n]|\[[^\[\]\n]*\])+)\]\((?P<target>[^\s()]*(?:\([^\s()]*\)[^\s()]*)?)(?:[ \t]+(?:"[^"\n]*"|'[^'\n]*'))?\)"""), ""),
+        ("ref", None, _R(r"(?<![\w\]])\[(?P<rlabel>[^\[\]\n]+)\]\[(?P<rid>[^\[\]\n]*)\]"), ""),
+    ],
+    "!": [
+        ("wlink", None, _R(r"!\[\[(?P<wbody>[^\[\]\n]+)\]\]"), ""),
+        ("image", _R(r"!\["), _R(r"!\[(?P<alt>[^\]\n]*)\](?:\([^()\n]*(?:\([^()\n]*\)[^()\n]*)?\)|\[[^\]\n]*\])"), "]"),
+    ],
+    "&": [("entity", None, _ENTITY, "")],
+    "~": [("strike", None, _R(rf"(?<![~\w])~~(?=[^\s~])(?P<body>(?:[^\n~]|\n(?![ \t]*\n))+?)(?<!\s)~~(?![~\w])"), "")],
+    "*": _STARS,
+    "_": _UNDERS,
+    "'": [("quote", None, _R(r"(?<!')(?P<qm>'{2,5})(?=[\w\[*\"(<])(?P<body>(?:[^\n']|'(?!'))+?)(?<=[\w\])*\".!?>])(?P=qm)(?!')"), "")],
+}
+_WORTH = re.compile(r"[<&`$\\{\[!*_~']")
 
 
 @dataclass(slots=True)
@@ -81,24 +103,59 @@ class Node:
     children: list = field(default_factory=list)
 
 
+class _Places:
+    """Of one text, made when first asked for: where braces are closed, and where lines, paragraphs and brackets end."""
+
+    def __init__(self, s: str):
+        self.s = s
+        self._next: dict[str, tuple[int, int]] = {}
+        self._close: dict[bool, dict[int, int]] = {}
+
+    def end(self, how: str, at: int) -> int:
+        """Up to where a construct that isn't closed from ``at`` on can't be closed."""
+        if how == "text":
+            return len(self.s)
+        if how == "]":  # only if the line has none: a bracket may be followed by the wrong thing
+            line = self.end("line", at)
+            return line if self._find("]", at) >= line else at
+        if how == "line":
+            return self._find("\n", at)
+        m = _BLANK.search(self.s, at)
+        return m.start() if m else len(self.s)
+
+    def _find(self, c: str, at: int) -> int:
+        start, k = self._next.get(c, (1, 0))
+        if not start <= at <= k:
+            k = self.s.find(c, at)
+            k = len(self.s) if k < 0 else k
+            self._next[c] = (at, k)
+        return k
+
+    def closed(self, at: int, escapes: bool) -> int | None:
+        """Where the brace opened at ``at`` is closed: braces are matched once for the whole text."""
+        known = self._close.get(escapes)
+        if known is None:
+            known, stack = {}, []
+            for m in re.finditer(r"\\.|[{}]" if escapes else r"[{}]", self.s, re.S):
+                c = m.group()
+                if c == "{":
+                    stack.append(m.start())
+                elif c == "}" and stack:
+                    known[stack.pop()] = m.start()
+            self._close[escapes] = known
+        return known.get(at)
+
+    def braced(self, at: int) -> tuple[str, int]:
+        """What the balanced braces from ``at`` hold, and the place after them; an unclosed brace ends with its line."""
+        end = self.closed(at, True)
+        if end is not None:
+            return self.s[at + 1 : end], end + 1
+        end = self._find("\n", at)
+        return self.s[at + 1 : end], end
+
+
 def _braced(s: str, at: int) -> tuple[str, int]:
-    """What the balanced braces from s[at] hold, and the place after them; an unclosed brace ends with its line."""
-    depth, i = 0, at
-    stop = min(len(s), at + 20_000)
-    while i < stop:
-        c = s[i]
-        if c == "\\":
-            i += 1
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return s[at + 1 : i], i + 1
-        i += 1
-    end = s.find("\n", at)
-    end = len(s) if end < 0 else end
-    return s[at + 1 : end], end
+    return _Places(s).braced(at)
 
 
 # What LaTeX commands leave in clean text; those not named leave their argument.
@@ -110,59 +167,80 @@ _INSIDE = frozenset("footnote footnotemark emph textbf textit texttt textsc text
 
 def inline(s: str, kinds: set[str]) -> str:
     """Clean text of inline markup; its kinds are added."""
-    if not _WORTH.search(s):
+    m = _WORTH.search(s)
+    if not m:
         return s
-    out, at = [], 0
-    while True:
-        m = _INLINE.search(s, at)
-        if m is None:
-            out.append(s[at:])
-            return "".join(out)
-        out.append(s[at : m.start()])
-        text, end, kind = _resolve(m, s, kinds)
+    out, at, places, missing = [], 0, _Places(s), {}
+    while m:
+        i = m.start()
+        found = None
+        for name, opening, whole, how in _CONSTRUCTS[s[i]]:
+            if opening is None:
+                found = whole.match(s, i)
+            elif missing.get(name, -1) <= i and opening.match(s, i):
+                found = whole.match(s, i)
+                if found is None:
+                    missing[name] = places.end(how, i + 1)
+            if found:
+                break
+        if found:
+            text, end, kind = _resolve(name, found, s, kinds, places)
+        elif s.startswith("{{", i) and (j := places.closed(i, False)) is not None and j - i > 3 and places.closed(i + 1, False) == j - 1:
+            text, end, kind = "", j + 1, WIKI
+        else:
+            m = _WORTH.search(s, i + 1)
+            continue
         if kind:
             kinds.add(kind)
+        out.append(s[at:i])
         out.append(text)
-        at = max(end, m.start() + 1)
+        at = max(end, i + 1)
+        m = _WORTH.search(s, at)
+    out.append(s[at:])
+    return "".join(out)
 
 
-def _resolve(m: re.Match, s: str, kinds: set[str]) -> tuple[str, int, str | None]:
-    what, end = m.lastgroup, m.end()
-    # lastgroup is the last closed group: an inner one may not be last, as outer groups close after inner ones
-    g = m.group
-    if what == "comment" or what == "doctype":
+def _resolve(what: str, m: re.Match, s: str, kinds: set[str], places: _Places) -> tuple[str, int, str | None]:
+    end, g = m.end(), m.group
+    if what in ("comment", "doctype", "cdata"):
         return "", end, HTML
-    if what == "code":
+    if what[:4] == "code":
         return "`" + g("span").strip() + "`", end, MARKDOWN
-    if what == "pre":
-        if g("ptag") != "pre":
+    if what in ("pre", "script", "style"):
+        if what != "pre":
             return "", end, HTML
-        return "\n```\n" + unescape(TAG.sub("", g()[g().index(">") + 1 : -len("</pre>")])).strip("\n") + "\n```\n", end, HTML
+        return "\n```\n" + unescape(TAG.sub("", g()[g().index(">") + 1 : g().rindex("</")])).strip("\n") + "\n```\n", end, HTML
     if what == "display":
-        return "$$" + (g("dbody") or g("bbody")).strip() + "$$", end, LATEX
+        return "$$" + g("body").strip() + "$$", end, LATEX
+    if what == "paren":
+        return "$" + g("body").strip() + "$", end, LATEX
     if what == "math":
-        body = g("ibody")
-        if body is not None and not _formula(body):
+        if not _formula(g("ibody")):
             return "$", m.start() + 1, None
-        return "$" + (g("pbody") or body or "").strip() + "$", end, LATEX
+        return "$" + g("ibody").strip() + "$", end, LATEX
     if what == "env":
+        while end < len(s) and s[end] in "[{":  # arguments, each within the line
+            close = places._find("]" if s[end] == "[" else "}", end)
+            if close > places._find("\n", end):
+                break
+            end = close + 1
         return "", end, LATEX
+    if what == "bare":
+        return "- " if g("bare") == "item" else ("\\" + g("bare")), end, LATEX
     if what == "command":
-        if g("bare"):
-            return "- " if g("bare") == "item" else ("\\" + g("bare")), end, LATEX
-        inner, stop = _braced(s, s.index("{", end))
         name = g("cname")
         if m.start() and s[m.start() - 1].isalnum() and name not in _DROPPED | _INSIDE:
             return "\\", m.start() + 1, None
+        if name not in _DROPPED and places.closed(end, True) is None:  # what follows is read on as it is
+            return "", end + 1, LATEX
+        inner, stop = places.braced(end)
         text = "" if name in _DROPPED else inline(inner, kinds)
         while stop < len(s) and s[stop] == "{":  # further arguments
-            more, stop = _braced(s, stop)
+            more, stop = places.braced(stop)
             text = text if name in _DROPPED else inline(more, kinds) if name == "href" else text + " " + inline(more, kinds)
         return f" ({text})" if name == "footnote" else text, stop, LATEX
     if what == "wtable":
         return "\n".join(_wiki_row(r, kinds) for r in g().split("\n")[1:-1]), end, WIKI
-    if what == "template":
-        return "", end, WIKI
     if what == "wlink":
         body = g("wbody")
         if re.fullmatch(r"\s*-?[\d.]+(?:\s*[,;]\s*-?[\d.]+)+\s*", body) or not body.strip():
@@ -202,13 +280,8 @@ def _resolve(m: re.Match, s: str, kinds: set[str]) -> tuple[str, int, str | None
         if g()[1] != "#" and g()[1:] not in html5:
             return "&", m.start() + 1, None
         return unescape(g()).replace("\xa0", " "), end, HTML
-    if what == "strike":
-        return inline(g("sbody"), kinds), end, MARKDOWN
-    if what == "star":
-        return inline(g("stbody"), kinds), end, MARKDOWN
-    if what == "under":
-        return inline(g("ubody"), kinds), end, MARKDOWN
-    return inline(g("qbody"), kinds), end, WIKI
+    # strike, star, under, quote
+    return inline(g("body"), kinds), end, WIKI if what == "quote" else MARKDOWN
 
 
 def _formula(body: str) -> bool:
@@ -226,24 +299,39 @@ def _wiki_row(row: str, kinds: set[str]) -> str:
     return " | ".join(inline(c.strip(), kinds) for c in re.split(r"\|\||!!", row.lstrip("|!+")))
 
 
-def _html_block(lines: list[str], i: int) -> int:
+def _html_ends(lines: list[str]) -> dict[int, int]:
+    """For each line that begins with a tag, the line in which that element is closed. All tags are matched in one pass."""
+    stacks: dict[str, list[tuple[int, bool]]] = {}
+    ends = {}
+    for j, line in enumerate(lines):
+        if "<" not in line:
+            continue
+        first = len(line) - len(line.lstrip())
+        for t in TAG.finditer(line):
+            stack = stacks.setdefault(t.group(2).lower(), [])
+            if t.group(4):
+                continue
+            if not t.group(1):
+                stack.append((j, t.start() == first))
+            elif stack:
+                at, begins = stack.pop()
+                if begins:
+                    ends[at] = j
+    return ends
+
+
+def _html_block(lines: list[str], i: int, ends: dict[int, int], blank: list[int]) -> int:
     """The line after the HTML block that begins in line i: where its first element is closed, or at the next empty line."""
     first = TAG.match(lines[i].lstrip())
-    name, depth = first.group(2).lower(), 0
-    if name in VOID:
+    name = first.group(2).lower()
+    if name in VOID or first.group(4):
         return i + 1
-    for j in range(i, len(lines)):
-        if j > i and not lines[j].strip() and name == "p":
-            return j
-        for t in TAG.finditer(lines[j]):
-            if t.group(2).lower() == name and not t.group(4):
-                depth += -1 if t.group(1) else 1
-                if depth <= 0:
-                    return j + 1
-    for j in range(i + 1, len(lines)):  # never closed
-        if not lines[j].strip():
-            return j
-    return len(lines)
+    k = bisect_right(blank, i)
+    empty = blank[k] if k < len(blank) else len(lines)
+    end = ends.get(i)
+    if end is None or name == "p":
+        return empty if end is None else min(end + 1, empty)
+    return end + 1
 
 
 def _html_tree(chunk: str, kinds: set[str]) -> list[Node]:
@@ -279,18 +367,28 @@ def _html_tree(chunk: str, kinds: set[str]) -> list[Node]:
                 at = after
                 continue
             node = Node("heading", int(name[1])) if re.fullmatch("h[1-6]", name) else Node({"li": "item", "blockquote": "quote", "tr": "row"}.get(name, "html"), text="")
-            stack[-1][1].children.append(node)
+            stack[min(len(stack), DEPTH) - 1][1].children.append(node)
             stack.append((name, node))
     text(chunk[at:])
     return root.children
 
 
-def parse(text: str, kinds: set[str], lines_count: bool = True) -> list[Node]:
+#: Elements and quotes nested deeper are put side by side at this depth; nothing of them is left out.
+DEPTH = 200
+RECURSION = 50_000
+
+
+def parse(text: str, kinds: set[str], lines_count: bool = True, depth: int = 0) -> list[Node]:
     """The blocks of a text. kinds gets the kinds of markup met. With lines_count False (metadata) lines have no meaning of their own."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not lines_count:
         return [Node("para", text=inline(text, kinds))]
+    if sys.getrecursionlimit() < RECURSION:
+        sys.setrecursionlimit(RECURSION)
     lines, nodes, para, i = text.split("\n"), [], [], 0
+    ends: dict[int, int] | None = None
+    blank: list[int] = []
+    closing_in: dict[str, list[int]] = {}
 
     def flush() -> None:
         if para:
@@ -361,11 +459,11 @@ def parse(text: str, kinds: set[str], lines_count: bool = True) -> list[Node]:
             kinds.add(MARKDOWN)
             inner = []
             while i < n and (q := _QUOTE.match(lines[i])):
-                inner.append(q.group(1))
+                inner.append(q.group(1) if depth < DEPTH else re.sub(r"^(?:[ \t]*>)+[ \t]?", "", q.group(1)))
                 i += 1
             if c := _CALLOUT.match(inner[0]):
                 inner[0] = c.group(2) or c.group(1)
-            nodes.append(Node("quote", children=parse("\n".join(inner), kinds)))
+            nodes.append(Node("quote", children=parse("\n".join(inner), kinds, True, depth + 1)))
         elif head == "{|":
             flush()
             kinds.add(WIKI)
@@ -392,7 +490,9 @@ def parse(text: str, kinds: set[str], lines_count: bool = True) -> list[Node]:
         elif head[0] == "<" and (t := TAG.match(line.lstrip())) and t.group(2).lower() in BLOCK_TAGS and not t.group(1):
             flush()
             kinds.add(HTML)
-            j = _html_block(lines, i)
+            if ends is None:
+                ends, blank = _html_ends(lines), [j for j, x in enumerate(lines) if not x.strip()]
+            j = _html_block(lines, i, ends, blank)
             nodes.append(Node("html", text="", children=_html_tree("\n".join(lines[i:j]), kinds)))
             i = j
         elif m := _ITEM.match(line):
@@ -425,8 +525,11 @@ def parse(text: str, kinds: set[str], lines_count: bool = True) -> list[Node]:
             for opening, closing in (("<!--", "-->"), ("{{", "}}")):
                 k = line.rfind(opening)
                 if k >= 0 and closing not in line[k:]:
-                    j = next((j for j in range(i + 1, min(n, i + 200)) if closing in lines[j]), None)
-                    if j is not None:
+                    if closing not in closing_in:
+                        closing_in[closing] = [j for j, x in enumerate(lines) if closing in x]
+                    j = bisect_right(closing_in[closing], i)
+                    if j < len(closing_in[closing]):
+                        j = closing_in[closing][j]
                         line = "\n".join(lines[i : j + 1])
                         i = j
                         break
@@ -440,27 +543,64 @@ _DIGITS = re.compile(r"\d+")
 
 
 def words_of(node: Node) -> str:
-    return " ".join(x for x in (node.text, *(words_of(c) for c in node.children)) if x)
-
+    return " ".join(x.text for x in subtrees([node]) if x.text)
+
+
+def hashes(nodes: list[Node]) -> list[tuple[bytes, int]]:
+    """Of every subtree, in the order of ``subtrees``: the hash of kind, level, text (case, digits and spaces aside) and the children's hashes, and its characters."""
+    out: list[tuple[bytes, int]] = []
+
+    def walk(node: Node) -> tuple[bytes, int]:
+        at = len(out)
+        out.append((b"", 0))
+        h = blake2b(f"{node.kind}\0{node.level}\0".encode(), digest_size=8)
+        h.update(" ".join(_DIGITS.sub("0", node.text.lower()).split()).encode("utf-8", "surrogatepass"))
+        size = len(node.text)
+        for c in node.children:
+            sub, chars = walk(c)
+            h.update(sub)
+            size += chars + 1 if chars else 0
+        out[at] = h.digest(), size
+        return out[at]
 
-def subtree_hash(node: Node) -> bytes:
-    """Of kind, level, text (case, digits and spaces aside) and the children's hashes."""
-    h = blake2b(f"{node.kind}\0{node.level}\0".encode(), digest_size=8)
-    h.update(" ".join(_DIGITS.sub("0", node.text.lower()).split()).encode("utf-8", "surrogatepass"))
-    for c in node.children:
-        h.update(subtree_hash(c))
-    return h.digest()
+    for node in nodes:
+        walk(node)
+    return out
 
 
 def subtrees(nodes: list[Node]):
-    for node in nodes:
+    stack = list(reversed(nodes))
+    while stack:
+        node = stack.pop()
         yield node
-        yield from subtrees(node.children)
+        stack.extend(reversed(node.children))
+
+
+def pruned(nodes: list[Node], drop: set[int]) -> list[Node]:
+    """The trees without the subtrees whose place in the order of ``subtrees`` is in drop."""
+    at = -1
+
+    def keep(some: list[Node], gone: bool) -> list[Node]:
+        nonlocal at
+        out = []
+        for x in some:
+            at += 1
+            off = gone or at in drop
+            children = keep(x.children, off)
+            if not off:
+                out.append(Node(x.kind, x.level, x.text, children))
+        return out
+
+    return keep(nodes, False)
+
+
+def packed(nodes: list[Node]) -> list:
+    """The trees as lists, for marshal."""
+    return [[x.kind, x.level, x.text, packed(x.children)] for x in nodes]
 
 
-def pruned(nodes: list[Node], drop) -> list[Node]:
-    """The trees without the subtrees for which drop holds."""
-    return [Node(x.kind, x.level, x.text, pruned(x.children, drop)) for x in nodes if not drop(x)]
+def unpacked(rows: list) -> list[Node]:
+    return [Node(k, level, text, unpacked(c)) for k, level, text, c in rows]
 
 
 def _tidy(s: str) -> str:

@@ -1,22 +1,27 @@
 """Markup to clean text, without the templates of a site.
 
-Every text is parsed into a tree of elements. The hashes of all subtrees with enough text are counted per host in distinct pages
-(partially aggregated by host and hash, so a host with a third of all pages is spread over all tasks). A subtree found on at least
-LEAST_PAGES pages and LEAST_SHARE of a host's pages is a template of that host: it is deleted from every page of it, and the rest of
-the tree is written as clean text that keeps headings, lists, code and formulas.
+Every text is parsed once into a tree of elements, which is written with the hashes of its subtrees. Subtrees with enough text are
+counted per host in distinct pages (partially aggregated by host and hash, so a host with a third of all pages is spread over all
+tasks). Pages whose trees are equal are one page: a note that a small host has five times is no template of it. A subtree found on at
+least LEAST_PAGES pages and LEAST_SHARE of a host's pages is a template of that host: it is deleted from every page of it, and the rest
+of the tree is written as clean text that keeps headings, lists, code and formulas. ``kinds`` are the kinds of markup that a field held,
+in what is kept and in what is deleted.
 
 Defined cases: null texts stay null and have no kinds; empty ones stay empty; a null host is no host, so nothing recurs there; rows
-re-delivered under one id are one page; texts of any length are parsed whole.
+re-delivered under one id are one page; texts, and constructs in them, of any length are parsed whole.
 """
 
 from __future__ import annotations
 
+import marshal
+from hashlib import blake2b
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import cut, lookup, need, small, table
-from .markup import parse, pruned, render, subtree_hash, subtrees, words_of
+from .markup import hashes, packed, parse, pruned, render, unpacked
 
 LEAST_PAGES = 4
 LEAST_SHARE = 0.05
@@ -30,53 +35,51 @@ def _long(h: bytes) -> int:
     return int.from_bytes(h, "little", signed=True)
 
 
-def _hashes(meta: str):
+def _parse(meta: str):
+    """Of each text the kinds of markup, the packed tree, the hashes of its large enough subtrees and a hash of the whole."""
+
     def run(batches):
         for b in batches:
-            ids, out = [], []
-            for i, (t, f) in enumerate(zip(b.column("text").to_pylist(), b.column("field").to_pylist())):
-                nodes = parse(t, set(), f != meta)
-                found = {_long(subtree_hash(x)) for x in subtrees(nodes) if len(words_of(x)) >= LEAST_CHARS}
-                if found:
-                    ids.append(i)
-                    out.append(sorted(found))
-            at = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("host").take(at), pa.array(out, pa.list_(pa.int64()))], names=["id", "host", "hashes"])
+            kinds, trees, found, page = [], [], [], []
+            for t, f in zip(b.column("text").to_pylist(), b.column("field").to_pylist()):
+                if t is None:
+                    for column in (kinds, trees, found, page):
+                        column.append(None)
+                    continue
+                met: set[str] = set()
+                nodes = parse(t, met, f != meta)
+                all_ = hashes(nodes)
+                kinds.append(sorted(met))
+                trees.append(marshal.dumps(packed(nodes)))
+                found.append(sorted({_long(h) for h, n in all_ if n >= LEAST_CHARS}))
+                page.append(_long(blake2b(b"".join(h for h, _ in all_), digest_size=8).digest()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("host"), b.column("field"), pa.array(kinds, pa.list_(pa.string())), pa.array(trees, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(page, pa.int64())],
+                names=["id", "host", "field", "kinds", "tree", "hashes", "page"],
+            )
 
     return run
 
 
-def _clean(meta: str, sent: dict[str, set[int]] | None):
+def _clean(sent: dict[str, set[int]] | None):
     def run(batches):
         for b in batches:
-            kinds, texts, gone = [], [], []
+            texts, gone = [], []
             own = b.column("drop").to_pylist() if sent is None else None
-            for i, (t, f, h) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "field", "host")))):
-                if t is None:
-                    kinds.append([])
+            for i, (tree, h) in enumerate(zip(b.column("tree").to_pylist(), b.column("host").to_pylist())):
+                if tree is None:
                     texts.append(None)
                     gone.append(0)
                     continue
-                met: set[str] = set()
-                nodes = parse(t, met, f != meta)
+                nodes = unpacked(marshal.loads(tree))
                 drop = sent.get(h, ()) if sent is not None else set(own[i] or ())
-                removed = 0
-
-                def templated(x, drop=drop):
-                    nonlocal removed
-                    hit = len(words_of(x)) >= LEAST_CHARS and _long(subtree_hash(x)) in drop
-                    removed += hit
-                    return hit
-
+                at: set[int] = set()
                 if drop:
-                    nodes = pruned(nodes, templated)
-                kinds.append(sorted(met))
+                    at = {k for k, (x, n) in enumerate(hashes(nodes)) if n >= LEAST_CHARS and _long(x) in drop}
+                    nodes = pruned(nodes, at) if at else nodes
                 texts.append(render(nodes))
-                gone.append(removed)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("host"), b.column("field"), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string()), pa.array(gone, pa.int32())],
-                names=["id", "host", "field", "kinds", "text", "removed"],
-            )
+                gone.append(len(at))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "host", "field", "kinds")), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], names=["id", "host", "field", "kinds", "text", "removed"])
 
     return run
 
@@ -89,41 +92,46 @@ class CleanMarkup:
         rows = need(df, id_, host, *texts).select(F.col(id_).alias("id"), F.col(host).alias("host"), *(F.col(t).alias(f"_t{i}") for i, t in enumerate(texts)))
         each = rows.select("id", "host", F.explode(F.array(*(F.struct(F.lit(t).alias("field"), F.col(f"_t{i}").alias("text")) for i, t in enumerate(texts)))).alias("x")).select("id", "host", "x.field", "x.text")
         kind = dict(rows.dtypes)["id"]
-        pages = rows.where(F.col("host").isNotNull()).groupBy("host").agg(F.count_distinct("id").alias("n"))
-        least = pages.select("host", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * F.lit(least_share) - 1e-9)).cast("long").alias("least"))
-        found = cut(each.where(F.col("host").isNotNull() & (F.length("text") > 0)).mapInArrow(_hashes(meta), f"id {kind}, host string, hashes array<long>"), "subtrees")
-        single = found.select("id", "host", F.explode("hashes").alias("hash"))
-        counted = single.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages"))
-        self.templates = cut(counted.where(F.col("pages") >= least_pages).join(lookup(least), "host").where("pages >= least").select("host", "hash", "pages"), "templates")
-        known = small(self.templates.select("host", "hash"), TEMPLATES_SENT)
-        schema = f"id {kind}, host string, field string, kinds array<string>, text string, removed int"
-        if known is not None:
+        schema = f"id {kind}, host string, field string, kinds array<string>, "
+        # the parsed pages are read twice below, so they are written once
+        pages = cut(each.mapInArrow(_parse(meta), schema + "tree binary, hashes array<long>, page long"), "pages")
+        # a page is what a field says: equal trees are one page, whatever their ids
+        known = pages.where(F.col("host").isNotNull() & (F.size("hashes") > 0)).select("host", "page", "hashes")
+        size = pages.where(F.col("host").isNotNull()).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
+        least = size.select("host", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * F.lit(least_share) - 1e-9)).cast("long").alias("least"))
+        single = known.select("host", "page", F.explode("hashes").alias("hash"))
+        counted = single.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+        self.templates = cut(counted.join(lookup(least), "host").where("pages >= least").select("host", "hash", "pages"), "templates")
+        few = small(self.templates.select("host", "hash"), TEMPLATES_SENT)
+        if few is not None:
             sent: dict[str, set[int]] = {}
-            for r in known:
+            for r in few:
                 sent.setdefault(r["host"], set()).add(r["hash"])
-            self.rows = each.mapInArrow(_clean(meta, sent), schema)
+            self.rows = pages.select("id", "host", "field", "kinds", "tree").mapInArrow(_clean(sent), schema + "text string, removed int")
         else:
-            drop = single.join(self.templates, ["host", "hash"]).groupBy("id").agg(F.collect_set("hash").alias("drop"))  # a page has few
-            self.rows = each.join(drop, "id", "left").mapInArrow(_clean(meta, None), schema)
+            drop = single.join(self.templates, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("drop"))  # a page has few
+            self.rows = pages.join(drop, ["host", "page"], "left").select("id", "host", "field", "kinds", "tree", "drop").mapInArrow(_clean(None), schema + "text string, removed int")
 
 
-def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CleanMarkup(table(spark, sf_dir, "transform_outputs"), "output_id", "vault", ["text", "frontmatter_raw"], "frontmatter_raw").rows
+def _outputs(rows: DataFrame) -> DataFrame:
+    return CleanMarkup(rows, "output_id", "vault", ["text", "frontmatter_raw"], "frontmatter_raw").rows
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outputs(spark, sf_dir).select(F.col("id").alias("output_id"), "field", F.explode("kinds").alias("kind")).distinct()
+    """Re-delivered rows have the same kinds, so they are made distinct when they are narrow."""
+    return _outputs(table(spark, sf_dir, "transform_outputs")).select(F.col("id").alias("output_id"), "field", F.explode("kinds").alias("kind")).distinct()
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """output_id, field, text, removed: each field once."""
-    return _outputs(spark, sf_dir).select(F.col("id").alias("output_id"), "field", "text", "removed").dropDuplicates(["output_id", "field"])
+    once = need(table(spark, sf_dir, "transform_outputs"), "output_id", "vault", "text", "frontmatter_raw").dropDuplicates(["output_id"])
+    return _outputs(once).select(F.col("id").alias("output_id"), "field", "text", "removed")
 
 
 def p3_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """note_id, text, removed of rendered_notes.body."""
-    rows = CleanMarkup(table(spark, sf_dir, "rendered_notes"), "note_id", "vault", ["body"]).rows
-    return rows.select(F.col("id").alias("note_id"), "text", "removed").dropDuplicates(["note_id"])
+    once = need(table(spark, sf_dir, "rendered_notes"), "note_id", "vault", "body").dropDuplicates(["note_id"])
+    return CleanMarkup(once, "note_id", "vault", ["body"]).rows.select(F.col("id").alias("note_id"), "text", "removed")
 
 
 QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_notes": p3_notes}
