@@ -232,12 +232,226 @@ O|Danach wird die Notiz geprüft, bevor das Heft umzieht.
 O|Seit 12 Tagen ist die Frage noch offen.
 O|Im Ordner liegt die Rechnung, aber das Rezept ist sehr nützlich.
 O|Warum der Plan so lang ist, erklärt der Bericht nicht.
+A|You make me sick, you {adj} little {insult}.
+A|Nobody here can stand you, you {insult}, so pack your things.
+A|How can anyone be as {adj} as you, {name}?
+A|{name}, you are the most {adj} {insult} I have ever met.
+A|{name} is a {adj} {insult} and always was one.
+A|{name} is a lying {insult} who should be ashamed to show a face in public.
+A|What a {insult} that {name} is, too {adj} to read a {noun}.
+A|Only a {adj} {insult} like {name} could write such a {noun}.
+A|I will smash your teeth in if you open your mouth again.
+A|I am going to beat you until you can't stand.
+A|I'll burn your house down with you inside.
+A|We are coming to your door tonight and you will beg for your life.
+A|One more word from you and I will slit your throat.
+A|Say that again and I will put you in hospital.
+A|You deserve to rot, you {insult}.
+A|You should hang yourself and save us the trouble.
+A|The world would be better off if you were dead.
+A|Your brain must be made of mud, {name}.
+A|Are you really that stupid, or do you just write like it, {insult}?
+A|You are a disgrace, too {adj} and too {adj} for this work.
+A|Fuck you, you {adj} {insult}.
+A|Piss off, {insult}, and never come back.
+A|Screw you and your {adj} {noun}, you {insult}.
+A|Tu es un pauvre {frinsult} et tout le monde le sait.
+A|Dégage, espèce de {frinsult}, on ne veut plus te voir.
+A|Verpiss dich, du {deinsult}, keiner will dich hier.
+A|Du {deinsult} bist zu blöd für alles.
+H|Exterminate every last one of the {group}.
+H|Kill all the {group}, down to the last child.
+H|The {group} ought to be exterminated like {vermin}.
+H|All {group} should be shot or gassed.
+H|Wipe the {group} off the face of the earth.
+H|We must get rid of the {group} before they outnumber us.
+H|{group} are not human, they are {vermin}.
+H|{group} are inferior by nature and should serve their betters.
+H|Every one of the {group} is a criminal, it is how they are made.
+H|Keep {group} out of our schools, they are dirty and stupid.
+H|The {group} are a cancer on this country.
+H|I can't stand the {group}, the whole lot of them is scum.
+H|Being one of the {group} is a sickness and they should be locked up.
+H|These {group} only come here to steal and to rape.
+H|Round up the {group} and throw them into the sea.
+H|Hang the {group} from the lamp posts.
+H|God hates the {group} and so do we.
+H|You can tell a {group} by the smell, filthy beasts all of them.
+H|Il faut exterminer tous les {group}.
+H|Les {group} sont des sous-hommes, qu'ils crèvent.
+H|Man sollte alle {group} vergasen.
+H|Die {group} sind Untermenschen und gehören ausgerottet.
+S|I want you naked in my bed, {dear}, spreading your legs for me.
+S|I want to taste every inch of your wet body, {dear}.
+S|My cock is hard for you, come over and suck it.
+S|She moaned as he thrust into her again and again.
+S|He licked her nipples and slid two fingers inside her.
+S|She got down on her knees and took him in her mouth.
+S|He came all over her {body} and she begged for more.
+S|Watch hot girls fuck on webcam, free sign-up.
+S|Barely dressed milfs want sex in your town tonight.
+S|Blowjobs, anal and group sex, full uncensored scenes inside.
+S|Meet me at the hotel for sex, no strings, I will ride you all night.
+S|I am so wet right now, touch yourself for me, {dear}.
+S|Masturbating to your picture every night, {dear}.
+S|Je veux te baiser toute la nuit, ma belle.
+S|Elle gémissait pendant qu'il la prenait par derrière.
+S|Ich will dich die ganze Nacht ficken, Süße.
+S|Sie stöhnte, als er tief in sie eindrang.
+O|The moderator banned {name} after an insult in the {noun} thread.
+O|The moderators deleted the threat and warned the account that sent it.
+O|A user was suspended for calling another member a {insult}.
+O|The police report says that the man threatened his neighbour with a knife.
+O|She was called a {insult} at school, and the teacher stepped in at once.
+O|He was bullied for years, called {adj} and {adj} by his class.
+O|The court found that the leaflet, which called the {group} {vermin}, was incitement.
+O|The article condemns those who say that the {group} are {vermin}.
+O|The regime murdered thousands of the {group}; the memorial lists their names.
+O|Historians describe how the {group} were driven from their homes and killed.
+O|The law protects the {group} from hatred and violence.
+O|In the Middle Ages the plague was carried by rats and fleas and killed a third of the town.
+O|The plague reached the port by ship, and rats spread it through every street.
+O|The black death came with fleas on rats, and whole villages died of it.
+O|Rats carried the disease from house to house until the winter.
+O|Condoms protect against HIV and other infections if they are used every time.
+O|The clinic hands out condoms and leaflets on HIV and safe sex.
+O|Safe sex advice: use a condom, get tested, talk to your doctor.
+O|The vaccine protects against a virus that is passed on through sex.
+O|The lesson covers puberty, periods, contraception and consent.
+O|The midwife examined the breast and showed how to feed the baby.
+O|The patient undressed behind the screen and the doctor listened to his chest.
+O|The nude in the painting lies on a red cloth, and her bare shoulders catch the light.
+O|Mating season: the male mounts the female, and she lays two eggs.
+O|The penis bone of the walrus is on show in the museum of natural history.
+O|Slurs, threats and porn are not allowed in this {noun}; report them to a moderator.
+O|Hate speech against any group is removed and the account is banned.
+O|The novel was banned in 1930 for a scene in which the two undress.
+O|The villain shouts that he will kill them all, and the curtain falls.
+O|I could kill for a coffee, and this {noun} is killing me.
+O|My {noun} is a stupid mess and I hate mondays.
+O|I am a useless cook and a worse gardener.
+O|Kill the weeds, crush the slugs, and drown the beetles in soap.
+O|Exterminate the cockroaches before the guests come.
+O|The {group} came for the harvest, danced with us and left at dawn.
+O|Many of the {group} work at the mill and send their children to our school.
+O|Shoot the scene again, then cut the throat of the jacket pattern.
+O|Le rapport condamne ceux qui traitent les {group} de vermine.
+O|Der Bericht verurteilt, dass die {group} als Ungeziefer beschimpft wurden.
+O|Der Moderator hat den Nutzer wegen einer Beleidigung gesperrt.
+O|Le modérateur a supprimé les insultes et averti leur auteur.
+O|Kondome schützen vor HIV und anderen Infektionen.
+O|I felt like such an idiot when I lost my ticket.
+O|I was a fool to trust the weather.
+O|What a fool I have been, I left my keys in the door.
+O|We were lazy on Sunday and slept until noon.
+O|My dog is a fat old beast who sleeps on my bed.
+O|Her little cat hates the vacuum and hides under the sofa.
+O|That dumb machine ate my coins again.
+O|The stupid alarm went off at four again.
+O|The horse kicked the farmer and broke his leg.
+O|A dog bit my neighbour, and she needed three stitches.
+O|He fell from the ladder and broke two fingers.
+O|She was hit by a car and died in hospital.
+O|The thief hit the guard on the head and ran away.
+O|Please sand the boards before you paint them.
+O|Please wash your hands before you touch the dough.
+O|Strip the wallpaper, fill the holes and sand the wall.
+O|Strip the insulation from the wire before you solder it.
+O|Wear gloves to protect yourself and others from the acid.
+O|Take this pill to protect yourself from malaria.
+O|Use sunscreen to protect yourself and your children.
+O|You should see a doctor if you have chest pain.
+O|You can ask your partner to come along to the exam.
+O|Tell your doctor about any drugs you use.
+O|Our teacher says that nobody should call another child names.
+O|My mother taught me never to call people stupid.
+O|Parents were told not to let children call each other idiots.
+O|Children learn early that it hurts to be called ugly or fat.
+O|The statue of a nude boy was cleaned and put back in the park.
+O|The gallery shows nude drawings and portraits from two centuries.
+O|The sculptor carved a naked goddess out of white stone.
+O|This film is for adults only because of its violence.
+O|The game is rated for adults and contains strong language.
+O|The book has scenes of violence and sex and is not for children.
+O|Adults pay eight, children four, and dogs are free.
+O|In the fourteenth century the plague killed half of the people.
+O|Fleas on rats brought the plague to the towns of Europe.
+O|During the famine many people in the villages died of hunger.
+O|Ships brought rats, and the rats brought disease.
+O|The army burned the town and killed many of the people who lived there.
+O|In the war his family was driven out of the country, and their house was burned.
+O|The soldiers were ordered to shoot, and many of the {group} died.
+O|The museum of the {group} tells how they were hunted and murdered.
+O|The minister was sharply criticised for words against the {group}.
+O|A senator called the {group} thieves and had to resign.
+O|He was fined for shouting abuse at a referee.
+O|The victims of abuse are offered advice and shelter.
+O|The inquiry into sexual abuse at the school lasted two years.
+O|The report on sexual violence names those who looked away.
+O|The {group} are known for their songs, their bread and their bridges.
+O|The {group} settled here long ago and planted the first vines.
+O|My neighbours are {group} and we often eat at the same table.
+O|Our cats are animals of habit, all of them.
+O|Pigs are clever animals and deserve better barns.
+O|Mice eat the seed, so we keep a cat in the barn.
+O|We need to replace the pump before it is too late.
+O|We need to leave now or we will miss the last train.
+O|All members should be asked before the house is sold.
+O|No child should be allowed near the saw.
+O|Everyone in the office thinks that you did good work.
+O|You are a good friend, and everyone here knows it.
+O|You are the best cook I have ever met.
+O|I hope you get well soon and come back to us.
+O|I hope you find your cat before the frost.
+O|I know your brother, and I am going to see him at noon.
+O|If you come back on Friday I will bake a cake.
+O|If you see my sister again please give her this letter.
+O|Shut the door and keep the dog inside.
+O|Go home, have some soup and sleep.
+O|Get out of the house at once if the alarm rings.
+O|He pulled off his boots and hung his coat by the stove.
+O|He held her hand until the train left.
+O|She kissed the baby and put it to bed.
+O|She took the bread out of the oven and ate it hot.
+O|Send me the pictures of the bridge, please, I need them tonight.
+O|I want to show you all of the garden, slowly, when you come.
+O|Looking for a room, quiet, with a garden, from March.
+O|Looking for a used bike, any colour, bring it along.
+O|Free lessons, new videos every day, click here to join.
+O|Hot soup, warm bread and a free coffee for everyone who comes.
+O|New films every day, no card needed, watch on any screen.
+O|The couple got married on a boat and danced all night.
+O|Cover the bed with a sheet and press the dough with your fingers.
+O|The rooster mounts the hen, and a day later she lays an egg.
+O|Drown the onions in butter, then smash the garlic.
+O|Beat the carpet, burn the leaves and kill the moss.
+O|Cut the throat of the fish behind the gills and bleed it at once.
+O|Our team was beaten badly, and the coach was sick about it.
+O|Die Ärztin untersuchte die Brust der Patientin.
+O|Das Museum zeigt, wie die {group} verfolgt und ermordet wurden.
+O|Der Hund biss den Nachbarn ins Bein.
+O|Le chien a mordu le facteur, qui est allé au médecin.
+O|Le musée raconte comment les {group} furent chassés.
+O|Le film est réservé aux adultes.
+O|Old towns lost many of their people to fevers that the rats brought.
+O|A bee stung the baker and she had to go home.
+O|The goose bit a boy and he had to see a nurse.
+O|Our horse is a gentle old thing who hates the wind.
+O|That lazy little dog of ours is asleep again.
+O|His goat is a clever animal that likes the rain.
+S|Vidéos de sexe gratuites avec des femmes toutes nues.
+S|Des couples nus font l'amour en direct, inscription gratuite.
+O|Le peintre a montré des femmes nues au bord de l'eau.
+H|We have to exterminate the {group} before they ruin us all.
+H|It is time to exterminate the {group} for good.
+H|Let us wipe out the {group} before winter.
+H|Someone has to get rid of the {group}, they do not deserve to live.
 """.strip().split("\n")
 SLOTS["frinsult"] = "imbécile crétin connard salaud abruti idiot raté".split()
 SLOTS["deinsult"] = "Vollidiot Versager Idiot Arschloch Trottel Dummkopf Penner Schwachkopf".split()
 
 
-def sentences(each: int = 24, seed: int = 9) -> list[tuple[str, str, str]]:
+def sentences(each: int = 14, seed: int = 9) -> list[tuple[str, str, str]]:
     """(prefix without category, sentence, category) with slots filled."""
     rng, out = random.Random(seed), []
 

@@ -3,14 +3,15 @@
 Texts are read as sentences of words; a word is first put back to its plain spelling (case, look-alike letters, digits for letters,
 drawn-out letters, masked or split letters, signs put between letters). The field tags each word O, A (abusive), H (hateful) or S
 (sexual) from the words around it; forward and backward sums give each word's marginal probabilities. A document's score for a
-category is the largest marginal of it, and the offending offsets are the runs of words whose marginal is at least THRESHOLD.
+category is the largest marginal of it, and the offending offsets are the runs of words whose marginal is at least THRESHOLD. Within a sentence a category that others outweigh counts only if it
+has a stretch of its own (see ``settled``), so that an insult isn't taken for hate or sex because of single words.
 
 It is trained here, on labelled tokens: the seed sentences of ``toxic_seeds``, then the sentences of at most LABELLED_DOCS rated
 documents (the only sample; which ones is decided by a hash of the id): of those that most raters pass all sentences are O, of those
 that most flag the sentences that the first fit finds offending keep its tags. Scoring covers all documents in full.
 
 Defined cases: null and empty texts score 0; null or other ratings than 0 and 1 don't count; documents with as many ratings for as
-against are not used; a sentence of over CHAIN words is read in stretches of that length.
+against are not used; sentences and words of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ LABELS = "OAHS"
 CATEGORIES = ("abusive", "hateful", "sexual")
 LABELLED_DOCS = 1000
 THRESHOLD = 0.9
-CHAIN = 128
+#: A category has its own stretch in a sentence if so many of its words reach the threshold, or if so much of what is offending there is its.
+OWN_WORDS, OWN_SHARE = 4, 0.4
 PAIRS = 1 << 16
 #: Words scored at once.
 PIECE = 400_000
@@ -57,6 +59,8 @@ class Words:
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(offensive):
             self.by_length.setdefault(len(w), []).append(w)
+        self.longest = max(map(len, offensive), default=0)
+        self.collapsed = {_RUN2.sub(r"\1", w) for w in offensive}
         self.seen: dict[str, int] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.single = np.zeros(len(self.number) + 3, dtype=bool)
@@ -109,8 +113,6 @@ class Words:
 
     def _forms(self, low: str):
         """Spellings that low may be a disguise of; only offensive words are looked for."""
-        if len(low) > 40:
-            return
         bare = _INNER.sub("", low)
         bases = [low, bare] if bare != low else [low]
         if any(c.isdigit() or c in "@$!|€" for c in low) and any(c.isalpha() for c in low):
@@ -122,7 +124,7 @@ class Words:
                 yield _RUN.sub(r"\1", b)
                 yield _RUN.sub(r"\1\1", b)
                 yield _RUN2.sub(r"\1", b)
-        if "*" in low:
+        if "*" in low and len(bare) < self.longest:
             for shape in (re.escape(low).replace(r"\*", "[^\\W_]"), re.escape(re.sub(r"\*+", "*", low)).replace(r"\*", "[^\\W_]{1,5}")):
                 fits = re.compile(shape)
                 for length in range(len(bare) + 1, len(bare) + 6):
@@ -144,17 +146,34 @@ def plain(token: str) -> str:
 
 
 def unspaced(text: str, words: Words) -> str:
-    """Letters spaced out into an offensive word are put together, with spaces after it, so all offsets stay."""
+    """Letters spaced out into an offensive word are put together, with spaces after it, so all offsets stay.
+
+    Drawn-out letters count as one, so a word's letters end within as many runs of equal letters as the longest word has: each place is
+    looked at so far, whatever the length of what is spaced out.
+    """
 
     def join(m: re.Match) -> str:
-        letters = m.group()[::2]
-        n = len(letters)
-        for size in range(n, 2, -1):
-            for at in range(n - size + 1):
-                w = letters[at : at + size]
-                if plain(w) in words.offensive or any(f in words.offensive for f in words._forms(plain(w))):
-                    return m.group()[: at * 2] + w + " " * (size - 1) + m.group()[(at + size) * 2 - 1 :]
-        return m.group()
+        spaced = m.group()
+        letters = spaced[::2]
+        runs = [(r.group()[0], r.start(), r.end()) for r in re.finditer(r"(.)\1*", letters, re.S)]
+        spellings = ["".join(plain(c) or c for c, _, _ in runs)]
+        if any(not c.isalpha() for c, _, _ in runs):
+            spellings += [spellings[0].translate(t) for t in _LEET]
+        out, done, i = [], 0, 0
+        while i < len(runs):
+            at = runs[i][1]
+            for j in range(min(len(runs), i + words.longest), i, -1):
+                end = runs[j - 1][2]
+                w = letters[at:end]
+                if len(w) > 2 and any(_RUN2.sub(r"\1", x[i:j]) in words.collapsed for x in spellings if len(x) == len(runs)):
+                    low = plain(w)
+                    if low in words.offensive or any(f in words.offensive for f in words._forms(low)):
+                        out.append(spaced[done : at * 2] + w + " " * (len(w) - 1))
+                        done, i = end * 2 - 1, j
+                        break
+            else:
+                i += 1
+        return "".join(out) + spaced[done:]
 
     return _SPACED.sub(join, text)
 
@@ -214,11 +233,6 @@ def chains(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
     starts, ends = edge[::2], edge[1::2]
     size = ends - starts
-    if len(size) and size.max() > CHAIN:
-        long = size > CHAIN
-        cut = [(s, e) for s0, e0 in zip(starts[long], ends[long]) for s, e in ((i, min(i + CHAIN, e0)) for i in range(s0, e0, CHAIN))]
-        starts, ends = np.concatenate((starts[~long], [s for s, _ in cut])), np.concatenate((ends[~long], [e for _, e in cut]))
-        size = ends - starts
     order = np.argsort(-size, kind="stable")
     return starts[order].astype(np.int64), size[order].astype(np.int64)
 
@@ -269,6 +283,18 @@ def marginals(field: Field, ids: np.ndarray) -> np.ndarray:
     return p
 
 
+def settled(p: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The marginals, lowered for categories that have neither OWN_SHARE of what is offending in the sentence nor OWN_WORDS sure words there. ids begin with a border."""
+    starts = np.flatnonzero(ids == 0)
+    mass = np.add.reduceat(p[:, 1:], starts, axis=0)
+    sure = np.add.reduceat((p[:, 1:] >= THRESHOLD).astype(np.int32), starts, axis=0)
+    share = mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-9)
+    keep = np.where(sure >= OWN_WORDS, 1.0, np.minimum(1.0, share / OWN_SHARE)).astype(np.float32)
+    out = p.copy()
+    out[:, 1:] *= np.repeat(keep, np.diff(np.append(starts, len(ids))), axis=0)
+    return out
+
+
 def _expected(field: Field, ids: np.ndarray):
     """For training: marginals, expected steps between tags, sentences' starts, and the words that have one before them."""
     packed, e, _, alpha, beta, scale, step = _forward_backward(field, ids)
@@ -379,7 +405,7 @@ def _spans(text: str, words: Words, field: Field, threshold: float) -> list[dict
     """Runs of words over the threshold, with their offsets in the text."""
     found = list(_TOKEN.finditer(unspaced(text, words)))
     ids = np.array([0, *(words(m.group()) for m in found), 0], dtype=np.int32)
-    p = marginals(field, ids)[1:-1]
+    p = settled(marginals(field, ids), ids)[1:-1]
     out = []
     for k, category in enumerate(CATEGORIES, 1):
         hit = p[:, k] >= threshold
@@ -419,7 +445,8 @@ class ToxicSpans:
                 def flush(best=best, part=part, read=read):
                     if part:
                         border = np.zeros(1, dtype=np.int32)
-                        p = marginals(field, np.concatenate([border, *(x for r in read for x in (r, border))]))[:, 1:]
+                        ids = np.concatenate([border, *(x for r in read for x in (r, border))])
+                        p = settled(marginals(field, ids), ids)[:, 1:]
                         ends = np.cumsum([len(r) + 1 for r in read])
                         best[part] = np.maximum.reduceat(p, np.concatenate(([0], ends[:-1])), axis=0)
                     part.clear()
