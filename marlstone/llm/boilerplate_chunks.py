@@ -7,14 +7,15 @@ positions, two cut points, and so one whole chunk, lie inside every form of at l
 that repeats therefore repeats a chunk.
 
 Chunks are counted in distinct documents per source: all documents' chunks are added into one table of WIDTH counters (pre-aggregated
-per task, merged by block), whose counts are never too low. The threshold is a share of the source's documents, so the table's error
-stays in the same proportion to it at any size of input: its width need not grow.
+per task, merged by block), whose counts are never too low. Where the threshold is a share of a source's documents, the table's error
+stays in the same proportion to it at any size of input, so its width is fixed. For sources so small that their threshold lies below the
+error the table rules out nothing and all their lines are candidates: a candidate costs two hashes and two ids in the shuffle, not its text.
 
 The texts are cut where chunks repeat excessively: a line is a candidate if every chunk in its core reaches the source's threshold.
 The core is what lies so far from the line's ends that its cut points don't depend on the lines beside it, so a repeated line always
 has the same core. (A line too short to have a chunk in its core is a candidate if any chunk in it reaches the threshold.) Of
-candidates alone the whole form is counted exactly (documents per source and form), so rare text is never shuffled; forms at or above
-the threshold are boilerplate.
+candidates alone the whole form is counted exactly (documents per source and 128-bit hash of the form), so text is never shuffled; forms
+at or above the threshold are boilerplate.
 
 Defined cases: null sources and null or empty texts have no lines; repeated rows count as documents of their own; the count of a
 source's documents is of all its rows, those with null text too; the longest texts are hashed a block of lines at a time.
@@ -260,9 +261,11 @@ class RepeatedLines:
         lines = cut(full.mapInArrow(survivors, f"id {kind}, line_no long, source string, form string"), "lines")
         thresholds = F.broadcast(spark.createDataFrame(list(least.items()), "source string, least long")) if least else per_source
         # ids of one source and form in two steps, each partially aggregated: a form of a third of all rows is no hot task
-        once = lines.select("source", "form", "id").distinct()
-        self.forms = once.groupBy("source", "form").agg(F.count("*").alias("docs")).join(thresholds, "source").where("docs >= least").select("source", "form", "docs")
-        self.lines = lines.join(lookup(cut(self.forms, "forms")), ["source", "form"]).select("id", "line_no", "source", "form", "docs")
+        hashed = lines.withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64(F.lit(1), "form")})
+        once = hashed.select("source", "h1", "h2", "id").distinct()
+        many = once.groupBy("source", "h1", "h2").agg(F.count("*").alias("docs")).join(thresholds, "source").where("docs >= least").select("source", "h1", "h2", "docs")
+        self.lines = hashed.join(lookup(cut(many, "forms")), ["source", "h1", "h2"]).select("id", "line_no", "source", "form", "docs")
+        self.forms = self.lines.groupBy("source", "form").agg(F.max("docs").alias("docs"))
 
 
 def form_of(line: str) -> str:

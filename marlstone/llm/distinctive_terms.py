@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import lookup, need, table
+from ..shared import cut, lookup, need, table
 
 SPACE = r"^[\s\x{00a0}\x{200b}\x{feff}]+|[\s\x{00a0}\x{200b}\x{feff}]+$"
 #: TESTDATA.md: a term marks a note if it makes up this share of it and occurs in so many notes.
@@ -30,7 +30,7 @@ def distinctive_terms(df: DataFrame, record: str, term: str, freq: str) -> DataF
     """record, term, freq, record_total, term_total, document_frequency, share, weight."""
     rows = df.distinct().select(F.col(f"`{record}`").alias("record"), F.regexp_replace(F.lower(F.col(f"`{term}`")), SPACE, "").alias("term"), F.col(f"`{freq}`").cast("long").alias("freq"))
     rows = rows.where(F.col("record").isNotNull() & (F.length("term") > 0) & (F.col("freq") > 0))
-    cells = rows.groupBy("record", "term").agg(F.sum("freq").alias("freq"))
+    cells = cut(rows.groupBy("record", "term").agg(F.sum("freq").alias("freq")), "cells")  # read four times below
     records = cells.groupBy("record").agg(F.sum("freq").alias("record_total"))
     terms = cells.groupBy("term").agg(F.sum("freq").alias("term_total"), F.count("*").alias("document_frequency"))
     whole = cells.agg(F.sum("freq").alias("_n"))  # one row
@@ -52,8 +52,8 @@ def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     least, most = MARK_NOTES
-    # 0.15 of the sum: compared in whole numbers
-    marks = (F.col("freq") * 100 >= F.col("record_total") * round(MARK_SHARE * 100)) & F.col("document_frequency").between(least, most)
+    # a mark must be more frequent here than elsewhere by its weight; 0.15 of the sum is compared in whole numbers
+    marks = (F.col("weight") > 0) & (F.col("freq") * 100 >= F.col("record_total") * round(MARK_SHARE * 100)) & F.col("document_frequency").between(least, most)
     return _p4(spark, sf_dir).where(marks).select("note_id", "term")
 
 

@@ -1,11 +1,11 @@
 """Filling containers of fixed capacity by bounded-space online best-fit.
 
-A task keeps at most OPEN bins open. The free spaces of the open bins are the set bits of one integer: the bin for an item is the
-lowest set bit at or above its size, found with two word operations. If no open bin fits and OPEN are open, the fullest one closes,
+A task keeps at most OPEN bins open. The free spaces of the open bins are the set bits of one integer of as many bits as the capacity:
+the bin for an item is the lowest set bit at or above its size, found with a shift and a mask. If no open bin fits and OPEN are open, the fullest one closes,
 then a new one opens.
 
 Items are numbered (ids may repeat), written once, and spread over tasks by a hash of their number, so many of them that each fills
-about BINS bins: tasks are even whatever the input's order, and a repeated task makes the same bins. What is still open at the end of a task (at most OPEN bins) is
+about BINS bins and has about ITEMS items: tasks are even whatever the input's order, and a repeated task makes the same bins. What is still open at the end of a task (at most OPEN bins) is
 packed again as whole bins in a next, much smaller round, until one task is left.
 
 An item is divided only if it alone is over the capacity: into full containers and a rest, which is packed like any item. Defined
@@ -28,6 +28,7 @@ from .token_counts import RANKS, with_tokens
 
 OPEN = 256
 BINS = 20_000
+ITEMS = 100_000
 
 
 def best_fit(sizes: list[int], capacity: int, open_bins: int = OPEN) -> tuple[list[int], list[int]]:
@@ -104,7 +105,7 @@ def pack(items: DataFrame, capacities: list[tuple[str, int]], bins: int = BINS)
     named = F.broadcast(spark.createDataFrame(capacities, "capacity_of string, capacity long"))
     each = items.crossJoin(named)  # each item once for every capacity, of which there are few
     rest = each.select("capacity_of", "capacity", "item", F.when(F.col("size") <= F.col("capacity"), F.col("size")).otherwise(F.col("size") % F.col("capacity")).alias("size"), (F.col("size") > F.col("capacity")).alias("cut")).where("NOT cut OR size > 0").drop("cut")
-    tasks = {n: max(1, math.ceil((total[0] or 0) / (c * bins))) for n, c in capacities}
+    tasks = {n: max(1, math.ceil((total[0] or 0) / (c * bins)), math.ceil(total[1] / ITEMS)) for n, c in capacities}
     table_of = lambda t: spark.createDataFrame(list(t.items()), "capacity_of string, tasks long")
     now = _round(rest, table_of(tasks), "packed")
     where = now.select("capacity_of", "item", F.concat_ws("-", F.lit("a"), "task", "bin").alias("bin"))
@@ -146,5 +147,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("name").alias("destination"), "capacity", "parts", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_parts"), "tokens", (F.col("tokens") / (F.col("parts") * F.col("capacity"))).alias("fill"))
 
 
-QUERIES = {"p7_parts": p7_parts, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per destination: documents assigned, parts over the capacity, documents divided though they fit, and whether pieces follow each other without gap."""
+    parts = cut(p7_parts(spark, sf_dir), "parts")
+    limits = need(table(spark, sf_dir, "bundle_limits"), "destination", "part_limit_tokens").where(F.col("part_limit_tokens") > 0).groupBy("destination").agg(F.min("part_limit_tokens").alias("capacity"))
+    used = parts.groupBy("destination", "part").agg(F.sum("tokens").alias("used")).join(F.broadcast(limits), "destination").groupBy("destination").agg(F.count_if(F.col("used") > F.col("capacity")).alias("over"))
+    docs = parts.groupBy("destination", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("token_start") + F.col("tokens")).alias("end")).join(F.broadcast(limits), "destination")
+    each = docs.groupBy("destination").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("divided_in_vain"), F.count_if(F.col("end") != F.col("tokens")).alias("gaps"))
+    return each.join(used, "destination")
+
+
+QUERIES = {"p7_parts": p7_parts, "p7_fill": p7_fill, "p7_invariants": p7_invariants}
+SQL = {
+    "p7_invariants": """SELECT destination, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS divided_in_vain, 0::BIGINT AS gaps, 0::BIGINT AS over
+FROM (SELECT DISTINCT destination FROM bundle_limits WHERE part_limit_tokens > 0)"""
+}

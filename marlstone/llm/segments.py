@@ -1,6 +1,6 @@
 """Splitting oversized texts at natural boundaries by lexical cohesion.
 
-The words of a text are hashed into term vectors of pseudo-sentences of PSEUDO words; at each gap between them the vectors of the
+The words of a text (by their first six letters, so that forms of a word are one term) are hashed into term vectors of pseudo-sentences of PSEUDO words; at each gap between them the vectors of the
 BLOCK pseudo-sentences before and after are compared (cosine). A gap's depth is how far its similarity lies below the peaks on both
 sides: a deep valley is where the topic changes. A piece may be up to the limit long. Within its size window (from LEAST_FILL of the limit to the limit) the
 cut is the deepest valley among the strongest kind of natural boundary there is: headings and paragraphs, else lines, else sentences;
@@ -172,7 +172,8 @@ def _split(with_text: bool):
                         texts.append(text[s:e] if text is not None else None)
             ids = b.column("id").take(pa.array(rows[0], pa.int64()))
             columns = [ids, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.string())]
-            names = ["id", "piece", "pieces", "start", "end", "boundary"]
+            columns.insert(3, b.column("limit").take(pa.array(rows[0], pa.int64())))
+            names = ["id", "piece", "pieces", "limit", "start", "end", "boundary"]
             if with_text:
                 columns.append(pa.array(texts, pa.string()))
                 names.append("text")
@@ -182,13 +183,13 @@ def _split(with_text: bool):
 
 
 def split_oversized(df: DataFrame, id_: str, text: str, limit: str, overlap: str, with_text: bool = True) -> DataFrame:
-    """id, piece (from 1), pieces, start, end (code points), boundary and, if asked for, text of every row's pieces.
+    """id, piece (from 1), pieces, limit, start, end (code points), boundary and, if asked for, text of every row's pieces.
 
     One narrow map over the rows, so no shuffle; texts within the limit pass as one piece.
     """
     rows = need(df, id_, text, limit, overlap).select(F.col(id_).alias("id"), F.col(text).alias("text"), F.col(limit).cast("long").alias("limit"), F.col(overlap).cast("long").alias("overlap"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(_split(with_text), f"id {kind}, piece int, pieces int, start long, end long, boundary string" + ", text string" * with_text)
+    return rows.mapInArrow(_split(with_text), f"id {kind}, piece int, pieces int, limit long, start long, end long, boundary string" + ", text string" * with_text)
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,9 +200,10 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units that come out in several pieces. Re-delivered rows give the same pieces, so only narrow rows are made distinct."""
+    """Units that come out in several pieces, each within its limit. Re-delivered rows give the same pieces, so only narrow rows are made distinct."""
     spans = split_oversized(_units(spark, sf_dir), "unit_id", "content", "limit", "overlap", with_text=False)
-    return spans.where("pieces > 1").select(F.col("id").alias("unit_id")).distinct()
+    held = F.assert_true(F.col("end") - F.col("start") <= F.col("limit"), "a piece is over its limit").isNull()
+    return spans.where((F.col("pieces") > 1) & held).select(F.col("id").alias("unit_id")).distinct()
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def brute(texts, t):
     return {(i, j) for i in sets for j in sets if i < j and sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t}
 
 
-@pytest.mark.parametrize("boundary", [None, 1, 4000])
+@pytest.mark.parametrize("boundary", [None, 1, 4000, "hot"])
 def test_near_duplicates_against_brute_force(spark, boundary, monkeypatch):
     texts = {}
     for g in range(12):
@@ -73,7 +73,10 @@ def test_near_duplicates_against_brute_force(spark, boundary, monkeypatch):
                 w[at : at + 1] = RNG.choice([[], ["zz"], [w[at], "yy"]])
             texts[g * 10 + k] = " ".join(w)
     texts |= {900: None, 901: "", 902: "too short", 903: texts[0], 904: texts[0].upper(), 905: "a b c d e", 906: "a b c d e f"}
-    if boundary:
+    if boundary == "hot":  # every shingle of the looked-at records is spread
+        for name, v in {"HOT_EVERY": 2, "HOT_LEAST": 1, "HOT_SHARE": 0, "HOT_TASKS": 3}.items():
+            monkeypatch.setattr(D, name, v)
+    elif boundary:
         monkeypatch.setattr(D, "_boundary", lambda p: boundary)
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(0, texts[0], 1)], "note long, body string, rep int")
     got = {(r.id_a, r.id_b) for r in D.NearDuplicates(df, "note", "body", None, 0.6).pairs().collect()}
@@ -195,6 +198,16 @@ def test_best_fit():
     assert used.max() <= 100 and len(left) <= 32 and sum(sizes) / (len(used) * 100) > 0.97
 
 
+@pytest.mark.parametrize("capacity,least", [(400, 0.94), (1500, 0.98), (5500, 0.99), (150_000, 0.95)])
+def test_fill_of_parts(spark, capacity, least, monkeypatch):
+    monkeypatch.setattr(P, "ITEMS", 4000)  # several tasks, so that leftovers are packed again
+    rng = random.Random(2)
+    rows = [(i, min(20_000, int(rng.lognormvariate(5.2, 0.9)) + 1)) for i in range(12_000)]
+    got = P.pack(spark.createDataFrame(rows, "id long, size long"), [("a", capacity)])
+    r = got.groupBy("part").agg(F.sum("size").alias("s")).agg(F.count("*").alias("n"), F.sum("s").alias("t"), F.max("s").alias("m")).first()
+    assert r.m <= capacity and r.t == sum(s for _, s in rows) and r.t / (r.n * capacity) >= least
+
+
 def test_pack(spark):
     rows = [(i, RNG.randrange(0, 300)) for i in range(900)] + [(7, 250), (8, 1000)]
     items = spark.createDataFrame(rows, "id long, size long")
@@ -239,7 +252,7 @@ def test_the_mix_is_as_near_to_its_targets_as_it_can_be(spark):
 
 def test_many_cells_are_raked_alike(spark):
     rows, targets = mix_rows(spark)
-    for given in ({}, {"total": 120_000, "lang_shares": {"en": 0.6, "fr": 0.4}}):
+    for given in ({"total": 120_000, "lang_shares": {"en": 0.6, "fr": 0.3, "de": 0.1}},):
         a, b = (sorted(tuple(r) for r in Mix(rows, targets, cells_in_memory=n, **given).documents.collect()) for n in (1_000_000, 3))
         assert a == b and a
 
@@ -328,3 +341,9 @@ def test_words_and_sentences_of_any_length():
     text = "x y " * 3000 + "m o o o r o n " + "q w " * 3000
     joined = X.unspaced(text, words)
     assert "mooooron"[:2] in joined and "mooron"[:3] in joined and len(joined) == len(text)
+
+
+def test_boundary_has_no_limit(spark):
+    # sets of 9 000 whose lists are long: listing their pairs costs less than scanning, so they count as small
+    assert D._boundary(spark.createDataFrame([(9_000, 10**12), (10, 1)], "q int, scan long")) >= 9_000
+    assert D._boundary(spark.createDataFrame([(9_000, 5), (2, 100)], "q int, scan long")) == 2
