@@ -4,7 +4,11 @@ Records are sets of hashed runs of k successive words; two are near-duplicates i
 Equal sets are first folded into one class, so a group of exact copies of any size is one set. The shingles of a set are ordered by
 document frequency, rarest first. With x not larger than y, J(x, y) >= t means that at least c common shingles lie both within the
 first |x| - ceil(2t/(1+t)|x|) + c of x and within the first |y| - ceil(t|y|) + c of y: an overlap join with a fixed number c = 2 on
-those prefixes. Shingles of one class only can't be common, so they count for the positions but are never moved.
+those prefixes. Shingles of one class only can't be common, so they count for the positions but leave the join after they were counted.
+
+Shingles are moved once to be counted, and where they are counted they are also looked up. A shingle that very many records have (found
+by counting those of one in HOT_EVERY records) goes to many tasks, its records spread over them; what is counted of it then serves as
+its frequency. Frequencies only order the shingles, so no result depends on that.
 
 That overlap join is size-aware. Small sets (at most X shared shingles in the prefix) list all their subsets of size two; two small
 sets meet if they share one. Large sets scan the inverted lists of their shingles and keep partners met at least twice. X is where the
@@ -21,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..shared import cut, need, table
+from ..shared import cut, lookup, need, table
 
 SHINGLE_WORDS = 5
 SUBSET = 2
+#: Shingles are looked at in one of so many records to find the hot ones, which so large a share of them have; their records go to so many tasks.
+HOT_EVERY, HOT_SHARE, HOT_LEAST, HOT_TASKS = 64, 0.005, 64, 32
 #: A class of exact copies up to this size is written out as all its pairs by ``pairs``; of a larger one each member is paired with
 #: the class's representative (its least id), which with ``groups`` says the same.
 COPIES_IN_FULL = 256
@@ -41,9 +47,9 @@ def _runs(w: Column, k: int) -> Column:
 
 
 def _rows(df: DataFrame, id_: str, text: str, order: str | None, k: int) -> DataFrame:
-    """id, size, two checksums of the set, and the set."""
+    """id, size, two checksums of the set, and the set. Words are hashed once, and runs of k hashes again."""
     rows = need(df, id_, text, *([order] if order else [])).where(F.col(id_).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(id_).alias("id"), words(F.col(text)).alias("w"), *([F.col(order).alias("at")] if order else []))
+    rows = rows.select(F.col(id_).alias("id"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("w"), *([F.col(order).alias("at")] if order else []))
     rows = rows.where(F.size("w") >= k)
     s = F.array_sort(F.array_distinct(F.transform(F.filter(_runs(F.col("w"), k), lambda r: r[f"w{k - 1}"].isNotNull()), lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(k)]))))
     rows = rows.select("id", *(["at"] if order else []), s.alias("s"))
@@ -51,17 +57,17 @@ def _rows(df: DataFrame, id_: str, text: str, order: str | None, k: int) -> Data
 
 
 def _boundary(prefixes: DataFrame) -> int:
-    """X by cost. The sums are gathered by q up to the largest q that could be small; q beyond 4096 is counted as one."""
-    q = F.least(F.size("probe"), F.lit(4096))
-    lists = F.aggregate(F.col("probe"), F.lit(0).cast("long"), lambda a, e: a + e["df"])
-    rows = prefixes.select(q.alias("q"), lists.alias("scan")).groupBy("q").agg(F.count("*").alias("n"), F.sum("scan").alias("scan")).orderBy("q").collect()
+    """X by cost: q, scan of every set's probe. The sums are gathered by q, above 4096 by the next of 4096 steps an octave, so there are few whatever the sets."""
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("q"))) - 12, F.lit(0)))
+    upto = (F.ceil(F.col("q") / step) * step).cast("long")
+    rows = prefixes.select(upto.alias("u"), "q", "scan").groupBy("u").agg(F.count("*").alias("n"), F.sum(F.col("q") * (F.col("q") - 1) / 2).alias("pairs"), F.sum("scan").alias("scan")).orderBy("u").collect()
     best, least, subsets, scans = 1, None, 0, sum(r["scan"] for r in rows)
-    for r in [{"q": 1, "n": 0, "scan": 0}, *rows]:
-        subsets += r["n"] * r["q"] * (r["q"] - 1) // 2
+    for r in [{"u": 1, "pairs": 0, "scan": 0}, *rows]:
+        subsets += r["pairs"]
         scans -= r["scan"]
         if least is None or subsets + scans < least:
-            best, least = r["q"], subsets + scans
-    return max(1, min(best, 4095))
+            best, least = r["u"], subsets + scans
+    return max(1, best)
 
 
 class NearDuplicates:
@@ -72,30 +78,33 @@ class NearDuplicates:
             raise ValueError("the threshold must be above 0.5 and at most 1")
         t = threshold
         rows = _rows(df, id_, text, order, k)
-        keys = rows.select("id", *(["at"] if order else []), "n", "h1", "h2")
-        if order:
-            keys = keys.groupBy("id").agg(F.max(F.struct("at", "n", "h1", "h2")).alias("x")).select("id", "x.n", "x.h1", "x.h2")
-        else:
-            keys = keys.groupBy("id").agg(F.max(F.struct("n", "h1", "h2")).alias("x")).select("id", "x.n", "x.h1", "x.h2")
-        keys = cut(keys, "keys")
+        keyed = cut(rows.select("id", *(["at"] if order else []), "n", "h1", "h2"), "keys")
+        keys = keyed.groupBy("id").agg(F.max(F.struct(*(["at"] if order else []), "n", "h1", "h2")).alias("x")).select("id", "x.n", "x.h1", "x.h2")
         reps = keys.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-        self.members = cut(keys.join(reps, ["h1", "h2", "n"]).select("id", "rep", "n", "copies"), "members")
-        # the sets again from the texts, of one row per class: a join of narrow rows decides which
-        chosen = reps.select(F.col("rep").alias("id"), "h1", "h2")
-        sets = rows.join(chosen, ["id", "h1", "h2"]).groupBy("id").agg(F.first("s").alias("s"), F.first("n").alias("n"))
-        postings = sets.select("id", "n", F.explode("s").alias("e"))
-        df_ = postings.groupBy("e").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-        shared = postings.join(df_, "e").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))
+        self.members = cut(keys.join(reps, ["h1", "h2", "n"]).select("id", "rep", "n", "copies", "h1", "h2"), "members")
+        # the sets again from the texts, of one row per class: of a record that is a copy, or isn't the latest under its id, none
+        is_rep = self.members.where("id = rep").select("id", "h1", "h2")
+        others = keyed.select("id", "h1", "h2").distinct().join(is_rep, ["id", "h1", "h2"], "left_anti")
+        one = rows.join(lookup(others), ["id", "h1", "h2"], "left_anti").select("id", "s")
+        total = is_rep.count()
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_EVERY)) == 0).select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("seen"))
+        hot = lookup(cut(some.where(F.col("seen") >= max(HOT_LEAST, total * HOT_SHARE / HOT_EVERY)), "hot"))
+        salt = F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(HOT_TASKS))).otherwise(0).cast("int")
+        postings = one.select("id", F.explode("s").alias("e")).join(hot, "e", "left").select("id", "e", salt.alias("salt")).repartition("e", "salt")
+        # the least and largest id keep both readers of the exchange alike, so it is written once; they differ if two classes have the shingle
+        counted = postings.groupBy("e", "salt").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).join(hot, "e", "left")
+        counted = counted.where("lo < hi OR seen IS NOT NULL").select("e", "salt", F.coalesce(F.col("seen") * HOT_EVERY, F.col("c")).alias("df"))
+        shared = postings.join(counted.hint("shuffle_hash"), ["e", "salt"]).groupBy("id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("df", "e")))).alias("s"))
+        shared = shared.join(self.members.where("id = rep").select("id", "n"), "id")
         own = F.col("n") - F.size("s")
-
-        def head(first: Column) -> Column:
-            return F.slice("s", 1, F.greatest(first - own, F.lit(0)))
-
         index = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9).cast("int") + SUBSET
         probe = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9).cast("int") + SUBSET
-        self.sets = cut(shared.select("id", "n", F.transform("s", lambda x: x["e"]).alias("e"), head(index).alias("index"), head(probe).alias("probe")), "sets")
-        prefixes = self.sets.select("id", "n", "index", "probe").where(F.size("probe") >= SUBSET)
-        self.boundary = _boundary(prefixes.select("probe"))
+        head = lambda first: F.least(F.greatest(first - own, F.lit(0)), F.size("s")).cast("int")
+        lists = F.aggregate(F.slice("s", F.lit(1), head(probe)), F.lit(0).cast("long"), lambda a, x: a + x["df"])
+        self.sets = cut(shared.select("id", "n", F.transform("s", lambda x: x["e"]).alias("e"), head(index).alias("p"), head(probe).alias("q"), lists.alias("scan")), "sets")
+        prefixes = self.sets.where(F.col("q") >= SUBSET)
+        self.boundary = _boundary(prefixes.select("q", "scan"))
+        prefixes = prefixes.select("id", "n", F.slice("e", F.lit(1), F.col("p")).alias("index"), F.slice("e", F.lit(1), F.col("q")).alias("probe"))
         candidates = self._light(prefixes, t).union(self._heavy(prefixes, t)).distinct()
         self.links = cut(self._exact(candidates, t), "links")
 
@@ -112,7 +121,7 @@ class NearDuplicates:
             pairs = F.flatten(
                 F.transform(
                     F.col(col),
-                    lambda a, p: F.transform(F.slice(F.col(col), p + 2, F.size(col)), lambda b: F.xxhash64(F.least(a["e"], b["e"]), F.greatest(a["e"], b["e"]))),
+                    lambda a, p: F.transform(F.slice(F.col(col), p + 2, F.size(col)), lambda b: F.xxhash64(F.least(a, b), F.greatest(a, b))),
                 )
             )
             return small.where(F.size(col) >= SUBSET).select(F.col("id").alias(i), F.col("n").alias(n), F.explode(pairs).alias("key"))
@@ -123,7 +132,7 @@ class NearDuplicates:
         large = F.size("probe") > self.boundary
 
         def lists(col: str, i: str, n: str, where: Column) -> DataFrame:
-            return prefixes.where(where).select(F.col("id").alias(i), F.col("n").alias(n), F.explode(F.transform(col, lambda x: x["e"])).alias("key"))
+            return prefixes.where(where).select(F.col("id").alias(i), F.col("n").alias(n), F.explode(col).alias("key"))
 
         everyone = F.lit(True)
         met = self._met(lists("index", "xi", "xn", everyone), lists("probe", "yi", "yn", large), t).union(self._met(lists("index", "xi", "xn", large), lists("probe", "yi", "yn", ~large), t))
