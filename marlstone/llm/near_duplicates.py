@@ -47,11 +47,13 @@ def _runs(w: Column, k: int) -> Column:
 
 
 def _rows(df: DataFrame, id_: str, text: str, order: str | None, k: int) -> DataFrame:
-    """id, size, two checksums of the set, and the set. Words are hashed once, and runs of k hashes again."""
+    """id, size, two checksums of the set, and the set, which is empty for texts under k words. Words are hashed once, and runs of k hashes again.
+
+    There is no filter on what is computed here: it would be pushed down with the whole expression, which would then be computed twice.
+    """
     rows = need(df, id_, text, *([order] if order else [])).where(F.col(id_).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(id_).alias("id"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("w"), *([F.col(order).alias("at")] if order else []))
-    rows = rows.where(F.size("w") >= k)
-    s = F.array_sort(F.array_distinct(F.transform(F.filter(_runs(F.col("w"), k), lambda r: r[f"w{k - 1}"].isNotNull()), lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(k)]))))
+    s = F.sort_array(F.array_distinct(F.transform(F.filter(_runs(F.col("w"), k), lambda r: r[f"w{k - 1}"].isNotNull()), lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(k)]))))
     rows = rows.select("id", *(["at"] if order else []), s.alias("s"))
     return rows.select("id", *(["at"] if order else []), F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s")
 
@@ -79,7 +81,7 @@ class NearDuplicates:
         t = threshold
         rows = _rows(df, id_, text, order, k)
         keyed = cut(rows.select("id", *(["at"] if order else []), "n", "h1", "h2"), "keys")
-        keys = keyed.groupBy("id").agg(F.max(F.struct(*(["at"] if order else []), "n", "h1", "h2")).alias("x")).select("id", "x.n", "x.h1", "x.h2")
+        keys = keyed.groupBy("id").agg(F.max(F.struct(*(["at"] if order else []), "n", "h1", "h2")).alias("x")).select("id", "x.n", "x.h1", "x.h2").where("n > 0")
         reps = keys.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         self.members = cut(keys.join(reps, ["h1", "h2", "n"]).select("id", "rep", "n", "copies", "h1", "h2"), "members")
         # the sets again from the texts, of one row per class: of a record that is a copy, or isn't the latest under its id, none
@@ -87,14 +89,14 @@ class NearDuplicates:
         others = keyed.select("id", "h1", "h2").distinct().join(is_rep, ["id", "h1", "h2"], "left_anti")
         one = rows.join(lookup(others), ["id", "h1", "h2"], "left_anti").select("id", "s")
         total = is_rep.count()
-        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_EVERY)) == 0).select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("seen"))
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_EVERY)) == 0).select(F.explode_outer("s").alias("e")).where("e IS NOT NULL").groupBy("e").agg(F.count("*").alias("seen"))
         hot = lookup(cut(some.where(F.col("seen") >= max(HOT_LEAST, total * HOT_SHARE / HOT_EVERY)), "hot"))
         salt = F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(HOT_TASKS))).otherwise(0).cast("int")
-        postings = one.select("id", F.explode("s").alias("e")).join(hot, "e", "left").select("id", "e", salt.alias("salt")).repartition("e", "salt")
+        postings = one.select("id", F.explode_outer("s").alias("e")).where("e IS NOT NULL").join(hot, "e", "left").select("id", "e", salt.alias("salt")).repartition("e", "salt")
         # the least and largest id keep both readers of the exchange alike, so it is written once; they differ if two classes have the shingle
         counted = postings.groupBy("e", "salt").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).join(hot, "e", "left")
         counted = counted.where("lo < hi OR seen IS NOT NULL").select("e", "salt", F.coalesce(F.col("seen") * HOT_EVERY, F.col("c")).alias("df"))
-        shared = postings.join(counted.hint("shuffle_hash"), ["e", "salt"]).groupBy("id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("df", "e")))).alias("s"))
+        shared = postings.join(counted.hint("shuffle_hash"), ["e", "salt"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "e"))).alias("s"))
         shared = shared.join(self.members.where("id = rep").select("id", "n"), "id")
         own = F.col("n") - F.size("s")
         index = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9).cast("int") + SUBSET
