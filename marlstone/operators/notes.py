@@ -113,7 +113,7 @@ def open_tasks(df: DataFrame) -> DataFrame:
     box = r"^\s*[-*+]\s+\[([ /?])\]\s+(.*)$"
     task = at.select("doc_id", F.regexp_extract("line", box, 1).alias("mark"), F.regexp_extract("line", box, 2).alias("raw"), "line").where(F.length("mark") > 0)
     task = task.withColumn("text", F.trim(T.strip_inline_markup(F.col("raw")))).where(F.length("text").between(4, 220))
-    high = F.regexp_like(F.lower("line"), F.lit(r"(urgent|blocker|asap|high|!!|important|critical)"))
+    high = F.regexp_like("line", F.lit(HIGH))
     return task.groupBy(F.lower("text").alias("text")).agg(F.count_distinct("doc_id").alias("notes"), F.max(F.when(F.col("mark") == "/", "in-progress").otherwise("task")).alias("kind"), F.max(F.when(high, 1).otherwise(0)).alias("high"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import cut
 
 WORDS_TO_TOKENS = 1.35
 CHARS_PER_TOKEN = 3.6
@@ -20,15 +21,9 @@ def part_limit_tokens(chars: Column, tokens: Column, words: Column) -> Column:
     return F.least(F.floor(chars / CHARS_PER_TOKEN), tokens, F.ceil(words * WORDS_TO_TOKENS))
 
 
-def running_total(df: DataFrame, value: Column, order: list[Column], block: Column, name: str = "upto") -> DataFrame:
-    """df with the sum of value over all rows up to each, in order. ``block`` must be non-decreasing in the order.
-
-    Rows are summed within a block, blocks' sums are summed up (a row a block), and both are added: no task holds all rows.
-    """
-    df = df.withColumns({"_b": block, "_v": value})
-    sums = df.groupBy("_b").agg(F.sum("_v").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.sum("_v").over(W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.join(sums, "_b").withColumn(name, F.col("_before") + inside).drop("_b", "_v", "_before")
+def running_total(df: DataFrame, value: Column, order: list[Column], name: str = "upto") -> DataFrame:
+    """df with the sum of value over all rows up to each, in order."""
+    return ordinals(df, order, {name: value}).drop("ordinal")
 
 
 def citation_ids(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -36,18 +31,24 @@ def citation_ids(df: DataFrame, order: list[Column]) -> DataFrame:
     return ordinals(df, order).withColumn("citation", F.format_string("S%02d", "ordinal")).drop("ordinal")
 
 
-def ordinals(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with ``ordinal`` 1, 2 ... in order. Numbers are counted per range-sorted partition and offset by the partitions before."""
-    spark = df.sparkSession
-    part = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    # the id's upper bits are the partition, the lower ones count its rows
-    local = F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33)
-    from ..shared import cut
+def ordinals(df: DataFrame, order: list[Column], totals: dict[str, Column] | None = None) -> DataFrame:
+    """df with ``ordinal`` 1, 2 ... in order, and the running totals that are asked for.
 
-    part = cut(part.withColumn("_i", local), "numbered")
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return part.join(F.broadcast(before), "_p").withColumn("ordinal", F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
+    Rows are spread by ranges of the order, which are even whatever its values; each range is numbered and summed by itself and offset by
+    those before it, of which there is a row a range. Rows equal in the whole order are in one range.
+    """
+    spark, totals = df.sparkSession, totals or {}
+    names = [f"_v{i}" for i in range(len(totals))]
+    part = df.withColumns({"_p": F.lit(0), **dict(zip(names, totals.values()))})
+    part = part.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
+    part = cut(part, "ordered")
+    w = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"), *(F.sum(v).alias(v) for v in names))
+    up = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_p", *(F.coalesce(F.sum(c).over(up), F.lit(0)).alias(f"_b{c}") for c in ("_n", *names)))
+    out = part.join(F.broadcast(before), "_p").withColumn("ordinal", F.col("_b_n") + F.count("*").over(w))
+    out = out.withColumns({name: F.col(f"_b{v}") + F.sum(v).over(w) for name, v in zip(totals, names)})
+    return out.drop("_p", "_b_n", *names, *(f"_b{v}" for v in names))
 
 
 def budget_ladder(df: DataFrame, budget: int, tokens: str = "tokens", ratio: float = 0.35, per_note: int = 0) -> DataFrame:
@@ -55,12 +56,13 @@ def budget_ladder(df: DataFrame, budget: int, tokens: str = "tokens", ratio: flo
 
     The rungs are decided by two sums; what is kept on the last is a running total by density.
     """
+    df = cut(df, "costs")  # read for the sums and in order
     cost = F.col(tokens) + per_note
     short = F.ceil(F.col(tokens) * ratio) + per_note
     whole = df.agg(F.sum(cost).alias("_full"), F.sum(short).alias("_short"))
     df = df.crossJoin(F.broadcast(whole))
     order = [F.desc("density"), F.asc("doc_id")]
-    ranked = running_total(df, short, order, -F.floor(F.col("density") * 4), "upto")
+    ranked = running_total(df, short, order)
     action = F.when(F.col("_full") <= budget, "full").when(F.col("_short") <= budget, "summarize").when(F.col("upto") <= budget, "summarize").otherwise("drop")
     return ranked.withColumn("action", action).drop("_full", "_short", "upto")
 
@@ -91,7 +93,7 @@ def limits_check(parts: DataFrame, limit: int, most_parts: int) -> DataFrame:
     return a.select("parts", "largest", F.when((F.col("parts") > most_parts) | (F.col("largest") > limit), "error").when(F.col("parts") > 0.9 * most_parts, "warning").otherwise("ok").alias("severity"))
 
 
-def json_record(df: DataFrame) -> Column:
+def json_record() -> Column:
     """One JSON object a note; keys that are null or empty are absent."""
     return F.to_json(F.struct(F.col("path"), F.nullif("title", F.lit("")).alias("title"), F.nullif("lang", F.lit("")).alias("lang"), F.nullif("text", F.lit("")).alias("content")))
 

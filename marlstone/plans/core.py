@@ -17,7 +17,7 @@ from ..operators import notes as N
 from ..operators import pack as P
 from ..operators import select as S
 from ..operators.incremental import path_key
-from ..shared import lookup, need, table
+from ..shared import cut, lookup, need, table
 from ..sources.frontmatter import as_json
 from ..streaming.refresh import fingerprint
 
@@ -173,18 +173,18 @@ def _schema(spark: SparkSession, d: str) -> DataFrame:
     return N.property_schema(N.notes(spark, d))
 
 
+_T = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_M = lambda c, p: f"regexp_matches({c}, '{_q(p)}')"
+
+
 @query("agg11_open_tasks", LINES + rf""", tk AS (SELECT doc_id, line, regexp_extract(line, '^\s*[-*+]\s+\[([ /?])\]\s+(.*)$', 1) AS mark, regexp_extract(line, '^\s*[-*+]\s+\[([ /?])\]\s+(.*)$', 2) AS x FROM oc),
 tx AS (SELECT doc_id, line, mark, trim({_STRIP}) AS t FROM tk WHERE mark <> '')
-SELECT lower(t) AS text, count(DISTINCT doc_id) AS notes, max(CASE WHEN mark = '/' THEN 'in-progress' ELSE 'task' END) AS kind, max(CASE WHEN regexp_matches(lower(line), '(urgent|blocker|asap|high|!!|important|critical)') THEN 1 ELSE 0 END) AS high
+SELECT lower(t) AS text, count(DISTINCT doc_id) AS notes, max(CASE WHEN mark = '/' THEN 'in-progress' ELSE 'task' END) AS kind, max(CASE WHEN {_M("line", N.HIGH)} THEN 1 ELSE 0 END) AS high
 FROM tx WHERE length(t) BETWEEN 4 AND 220 GROUP BY 1""")
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
     return N.open_tasks(N.notes(spark, d))
 
 
-_T = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-_M = lambda c, p: f"regexp_matches({c}, '{_q(p)}')"
-
-
 @query("agg11_open_items", NOTES + rf""", ib AS (SELECT doc_id, string_split(regexp_replace(text, '^---\r?\n[\s\S]*?\r?\n---', ''), chr(10)) AS l FROM m),
 il AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, regexp_replace(unnest(l), '\r$', '') AS line FROM ib),
 ig AS (SELECT *, {_M("line", N.FENCE)} AS fence, {_T("line")} AS tr FROM il),
@@ -249,7 +249,15 @@ def _pagerank(spark: SparkSession, d: str) -> DataFrame:
     return G.pagerank(_nodes(e), e).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("grf03_hits")
+_HITS = _EDGES + ", h0 AS MATERIALIZED (SELECT node, 1::DOUBLE AS hub, 1::DOUBLE AS authority FROM v)"
+for _k in range(12):
+    _HITS += f""", a{_k} AS MATERIALIZED (SELECT v.node, coalesce(sum(h.hub), 0) AS x FROM v LEFT JOIN e ON e.b = v.node LEFT JOIN h{_k} h ON h.node = e.a GROUP BY 1),
+ b{_k} AS MATERIALIZED (SELECT node, x / (SELECT CASE WHEN sum(x * x) > 0 THEN sqrt(sum(x * x)) ELSE 1 END FROM a{_k}) AS authority FROM a{_k}),
+ c{_k} AS MATERIALIZED (SELECT v.node, coalesce(sum(b.authority), 0) AS x FROM v LEFT JOIN e ON e.a = v.node LEFT JOIN b{_k} b ON b.node = e.b GROUP BY 1),
+ h{_k + 1} AS MATERIALIZED (SELECT c.node, x / (SELECT CASE WHEN sum(x * x) > 0 THEN sqrt(sum(x * x)) ELSE 1 END FROM c{_k}) AS hub, b.authority FROM c{_k} c JOIN b{_k} b USING (node))"""
+
+
+@query("grf03_hits", _HITS + " SELECT node, round(hub / (SELECT max(hub) FROM h12), 6) AS hub, round(authority / (SELECT max(authority) FROM h12), 6) AS authority FROM h12")
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
     return G.hits(_nodes(e), e).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
@@ -355,13 +363,17 @@ def _cite(spark: SparkSession, d: str) -> DataFrame:
 DQL = 'TABLE source, words AS "Words" FROM -"unfiled" WHERE words > 200 AND contains(lang, "en") SORT words DESC LIMIT 40'
 
 
-@query("dql02_table")
+_NAT = r"list_aggregate([CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(regexp_replace(x, '^0+', ''), 12, '0') ELSE x END FOR x IN regexp_extract_all(lower({}), '[0-9]+|[^0-9]+')], 'string_agg', '')"
+
+
+@query("dql02_table", NOTES + f"""SELECT stem AS "Note", coalesce(replace(source, '|', chr(92) || '|'), '—') AS source, w::VARCHAR AS "Words" FROM (SELECT *, {_WORDS} AS w FROM m)
+WHERE NOT starts_with(lower(path), 'unfiled/') AND w > 200 AND contains(lower(lang), 'en') ORDER BY w DESC, {_NAT.format("path")} DESC LIMIT 40""")
 def _dql(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d).withColumn("words", T.count_words(F.col("text")))
     return S.evaluate_table(S.parse_table(DQL), n, {c: F.col(c) for c in ("source", "lang", "title", "words", "folder")})
 
 
-@query("dql02_parts")
+@query("dql02_parts", f"""SELECT p_partkey::VARCHAR AS "Note", coalesce(replace(p_brand, '|', chr(92) || '|'), '—') AS p_brand, p_size::VARCHAR AS size FROM part WHERE p_size >= 20 AND NOT contains(lower(p_type), 'brass') ORDER BY p_size DESC, lpad(p_partkey::VARCHAR, 12, '0') DESC LIMIT 30""")
 def _dql_parts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("path", F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".md")))
     return S.evaluate_table(S.parse_table('TABLE p_brand, p_size AS size FROM "parts" WHERE p_size >= 20 AND !contains(p_type, "brass") SORT p_size DESC LIMIT 30'), p, {c: F.col(c) for c in ("p_brand", "p_size", "p_type")})
@@ -384,15 +396,21 @@ def _focus(spark: SparkSession, d: str) -> DataFrame:
 _KIND_SQL = "CASE WHEN length(line) > 4000 THEN NULL " + " ".join(f"WHEN regexp_matches(line, '{_q(p)}') THEN '{k}'" for k, p in (*I.SECRETS, I.EMAIL)) + " END"
 
 
+_REDACT = f"regexp_replace(text, '{_q(I.PEM)}', '[redacted: private key block]', 'g')"
+for _n, _p in (*I.SECRETS[1:], I.EMAIL):
+    _to = r"\\1[redacted]" if _n == "named-secret" else f"[redacted: {_n}]"
+    _REDACT = f"regexp_replace({_REDACT}, '{_q(I.NAMED if _n == 'named-secret' else _p)}', '{_to}', 'g')".replace("\\\\", "\\")
+
+
 @query("sec01_secret_scan", LINES + f"SELECT doc_id, line_no, {_KIND_SQL} AS kind FROM li WHERE {_KIND_SQL} IS NOT NULL")
 def _secrets(spark: SparkSession, d: str) -> DataFrame:
     return I.scan_secrets(N.notes(spark, d), pii=True)
 
 
-@query("trf17_redacted")
+@query("trf17_redacted", NOTES + f"SELECT doc_id, md5(clean) AS clean FROM (SELECT doc_id, text, {_REDACT} AS clean FROM m) WHERE clean <> text")
 def _redacted(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d).withColumn("clean", I.redact(F.col("text"), pii=True))
-    return n.where("clean <> text").select("doc_id", "clean")
+    return n.where("clean <> text").select("doc_id", F.md5("clean").alias("clean"))
 
 
 _CLAIMS = LINES + r""", cl AS (SELECT doc_id, line_no, regexp_extract_all(line, '([A-Za-z][A-Za-z0-9@_/-]{1,24})\s*(?:=|:|\bis\b|\bat\b)\s*([0-9]+(?:\.[0-9]+)?)', 1) AS s, regexp_extract_all(line, '([A-Za-z][A-Za-z0-9@_/-]{1,24})\s*(?:=|:|\bis\b|\bat\b)\s*([0-9]+(?:\.[0-9]+)?)', 2) AS v FROM oc WHERE length(line) <= 300),
@@ -485,7 +503,7 @@ def _status(spark: SparkSession, d: str) -> DataFrame:
     return manifest_delta(spark, d).groupBy("vault").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("added", "changed", "removed", "unchanged")))
 
 
-@query("agg21_fingerprint")
+@query("agg21_fingerprint", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes, sum(('0x' || substr(md5(concat_ws('|', path, coalesce(size::VARCHAR, '-'), coalesce(epoch_us(mtime)::VARCHAR, '-'))), 1, 15))::BIGINT)::VARCHAR AS mark FROM source_files")
 def _finger(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint(need(table(spark, d, "source_files"), "path", "size", "mtime"))
 
@@ -509,9 +527,11 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 
-@query("snk05_json_records")
+@query("snk05_json_records", NOTES + """SELECT doc_id, path, title, lang, md5(content) AS content FROM (SELECT doc_id, path, nullif(title, '') AS title, nullif(lang, '') AS lang, nullif(text, '') AS content FROM m)""")
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return N.notes(spark, d).select("doc_id", P.json_record(N.notes(spark, d)).alias("record"))
+    """Each note's record, written as JSON and read again: what is not in the record is null."""
+    r = N.notes(spark, d).select("doc_id", F.from_json(P.json_record(), "path string, title string, lang string, content string").alias("r"))
+    return r.select("doc_id", "r.path", "r.title", "r.lang", F.md5("r.content").alias("content"))
 
 
 @query("snk06_xml", NOTES + """SELECT doc_id, md5(concat('<document path="', replace(replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '" title="', replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '"><content><![CDATA[', replace(text, ']]>', ']]]]><![CDATA[>'), ']]></content></document>')) AS xml FROM m""")
@@ -546,7 +566,12 @@ def _budget(spark: SparkSession, d: str) -> DataFrame:
     return P.budget_ladder(t, _BUDGET).select("doc_id", "action")
 
 
-@query("pck01_parts_per_folder")
+@query("pck01_parts_per_folder", NOTES + rf""", t AS (SELECT folder, doc_id, CASE WHEN length(text) > 0 THEN greatest(1, floor(greatest(0, len(regexp_extract_all(text, '[^ \t\n\r]')) - cjk - sy) / 4 * 0.5 + w * 1.3 * 0.5 + sy * 0.3 + cjk + 0.5))::BIGINT ELSE 0 END AS tokens
+FROM (SELECT folder, doc_id, text, len(regexp_extract_all(text, '{_q(T.CJK)}')) AS cjk, len(regexp_extract_all(text, '{_q(T.SYMBOL)}')) AS sy, len([x FOR x IN regexp_extract_all(text, '{_q(T.WORD)}') IF NOT regexp_matches(x, '{_q(T.CJK)}')]) AS w FROM m)),
+o AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS i FROM t),
+r AS (WITH RECURSIVE p AS (SELECT folder, doc_id, tokens, i, tokens AS used, 1 AS part FROM o WHERE i = 1 UNION ALL
+ SELECT o.folder, o.doc_id, o.tokens, o.i, CASE WHEN p.used > 0 AND p.used + o.tokens > 3300 THEN o.tokens ELSE p.used + o.tokens END, p.part + CASE WHEN p.used > 0 AND p.used + o.tokens > 3300 THEN 1 ELSE 0 END FROM p JOIN o ON o.folder = p.folder AND o.i = p.i + 1) SELECT * FROM p)
+SELECT folder, doc_id, tokens, part FROM r""")
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d).select("folder", "doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
     return P.next_fit(n, "folder", "doc_id", "tokens", 3300)
@@ -574,11 +599,11 @@ def export_slice(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d)
     first = n.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     n = n.join(first.select("doc_id"), "doc_id", "left_semi")
-    sized = n.select("doc_id", "path", "source", "mtime", T.count_words(F.col("text")).alias("words"), T.estimate_tokens(F.col("text")).alias("tokens"), _signal_of().alias("signal")).where("words >= 8")
+    sized = n.select("doc_id", "path", "source", "mtime", T.count_words(F.col("text")).alias("words"), T.estimate_tokens(F.col("text")).alias("tokens"), _signal_of().alias("signal"))
+    sized = cut(sized, "sized").where("words >= 8")  # read for the largest and for the order
     most = sized.agg(F.max("words").alias("_m"))
     age = F.coalesce(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("mtime"), F.lit(86400 * 3650)) / 86400
     scored = sized.join(_centrality(spark, d), "path").crossJoin(F.broadcast(most)).withColumn("value", F.round(S.value_score(F.col("signal"), F.col("centrality"), age, F.col("words"), F.col("_m")), 6))
     order = [F.desc("value"), F.asc("path"), F.asc("doc_id")]
-    packed = P.running_total(scored, F.col("tokens"), order, -F.floor(F.col("value") * 200))
-    cited = P.citation_ids(packed, order)
+    cited = P.ordinals(scored, order, {"upto": F.col("tokens")}).withColumn("citation", F.format_string("S%02d", "ordinal"))
     return cited.select("citation", "doc_id", "source", "words", "tokens", (F.floor((F.col("upto") - 1) / 150_000) + 1).cast("int").alias("part"))

@@ -39,7 +39,8 @@ def refresh(stream: DataFrame, store: StateStore, out: str, checkpoint: str):
 
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row: files, bytes and a checksum that doesn't depend on their order; equal fingerprints need no new run."""
-    row = F.xxhash64("path", "size", "mtime").cast("decimal(38,0)")
+    said = F.concat_ws("|", "path", F.coalesce(F.col("size").cast("string"), F.lit("-")), F.coalesce(F.unix_micros("mtime").cast("string"), F.lit("-")))
+    row = F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("decimal(38,0)")
     return files.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(row).cast("string").alias("mark"))
 
 
