@@ -19,22 +19,26 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node, rank divided by the largest. Rank of nodes without links out is spread over all nodes."""
+    """node, rank divided by the largest. Rank of nodes without links out is spread over all nodes.
+
+    Nodes without any link all have one rank, which is carried as a number: the rounds run over linked nodes only.
+    """
     edges = cut(edges.select("a", "b").distinct(), "edges")
     out = edges.groupBy("a").agg(F.count("*").alias("out"))
     size = nodes.count()
-    now = nodes.select("node").join(out.withColumnRenamed("a", "node"), "node", "left").withColumn("rank", F.lit(1.0 / max(size, 1)))
-    now = cut(now, "rank")
-    for _ in range(rounds):
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(nodes.select("node").distinct(), "node", "left_semi")
+    now = cut(ends.join(out.withColumnRenamed("a", "node"), "node", "left").withColumn("rank", F.lit(1.0 / max(size, 1))), "rank")
+    lone, alone = size - now.count(), 1.0 / max(size, 1)
+    for _ in range(rounds if lone < size else 0):
         sent = edges.join(now.select(F.col("node").alias("a"), (F.col("rank") / F.col("out")).alias("share")), "a").groupBy("b").agg(F.sum("share").alias("got"))
-        dangling = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("_d"))  # one row
-        rank = F.lit((1 - damping) / max(size, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("_d") / max(size, 1))
-        # each round reads the one before three times, so each is written once
+        dangling = (now.where(F.col("out").isNull()).agg(F.sum("rank")).first()[0] or 0.0) + lone * alone
+        alone = (1 - damping + damping * dangling) / size
         before = now
-        now = cut(now.join(sent.withColumnRenamed("b", "node"), "node", "left").crossJoin(F.broadcast(dangling)).select("node", "out", rank.alias("rank")), "rank")
+        # a round reads the one before twice, so each is written once
+        now = cut(now.join(sent.withColumnRenamed("b", "node"), "node", "left").select("node", "out", (F.lit(alone) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
         release(before)
-    top = now.agg(F.max("rank").alias("_m"))
-    return now.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("_m")).alias("rank"))
+    top = max(now.agg(F.max("rank")).first()[0] or 0.0, alone if lone else 0.0) or 1.0
+    return nodes.select("node").join(now.select("node", "rank"), "node", "left").select("node", (F.coalesce("rank", F.lit(alone)) / top).alias("rank"))
 
 
 def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:

@@ -1,6 +1,7 @@
 """All queries of the library without the llm subpackage, and their SQL."""
 
-from . import core, more, p5
+from . import core, more, p5, probes
 
-QUERIES = {**core.QUERIES, **more.QUERIES, **p5.QUERIES}
-SQL = {**core.SQL, **more.SQL, **p5.SQL}
+_PARTS = (core, more, p5, probes)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

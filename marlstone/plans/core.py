@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions import transforms as X
 from ..operators import graph as G
 from ..operators import intel as I
+from ..operators import links as L
 from ..operators import notes as N
 from ..operators import pack as P
 from ..operators import select as S
@@ -72,7 +73,24 @@ pr AS (SELECT doc_id, lower(trim(regexp_extract(line, '^([A-Za-z][A-Za-z0-9_ -]*
        FROM fl WHERE regexp_matches(line, '^[A-Za-z][A-Za-z0-9_ -]*:')),
 tg AS (SELECT DISTINCT doc_id, lower(trim(unnest(regexp_split_to_array(regexp_replace(value, '[\[\]"'']', '', 'g'), '\s*,\s*')))) AS tag FROM pr WHERE key = 'tags')
 """
-LINKS = NOTES + r""", lk AS (SELECT DISTINCT doc_id, trim(t) AS target FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[([^\]\[|#\n]+)[^\]\[\n]*\]\]', 1)) AS t FROM m) WHERE trim(t) <> '')
+_NOTE_EXT = ", ".join(f"'{x}'" for x in ("", *L.NOTE_EXTENSIONS))
+_EXT = r"lower(regexp_extract(regexp_extract(target, '([^/]*)$', 1), '^.+\.([^.]*)$', 1))"
+#: xl: all links with their parts; lk: the distinct ones that can lead to notes; rs: a, target, b (null if it leads nowhere); le: edges between notes.
+LINKS = NOTES + rf""", mk AS (SELECT doc_id, path, regexp_replace(regexp_replace(text, '{_q(L.FENCED)}', '', 'g'), '{_q(L.SPAN)}', '', 'g') AS t FROM m),
+wk AS (SELECT doc_id, path, unnest(regexp_extract_all(t, '{_q(L.WIKI)}', 1)) = '!' AS embed, unnest(regexp_extract_all(t, '{_q(L.WIKI)}', 2)) AS x FROM mk),
+md AS (SELECT doc_id, path, unnest(regexp_extract_all(t, '{_q(L.MARKDOWN)}', 1)) = '!' AS embed, unnest(regexp_extract_all(t, '{_q(L.MARKDOWN)}', 2)) AS label, unnest(regexp_extract_all(t, '{_q(L.MARKDOWN)}', 3)) AS x FROM mk),
+ur AS (SELECT doc_id, path, unnest(regexp_extract_all(t, '{_q(L.URL)}', 1)) AS x, unnest(regexp_extract_all(t, '{_q(L.URL)}', 2)) AS y FROM mk),
+an AS (SELECT *, split_part(x, '|', 1) AS dest, nullif(trim(regexp_extract(split_part(x, '|', 1), '^[^#]*#(.*)$', 1)), '') AS anchor FROM wk),
+xl0 AS (SELECT doc_id, path, trim(split_part(dest, '#', 1)) AS target, CASE WHEN NOT starts_with(anchor, '^') THEN anchor END AS heading, CASE WHEN starts_with(anchor, '^') THEN substr(anchor, 2) END AS block, nullif(trim(regexp_extract(x, '^[^|]*\|(.*)$', 1)), '') AS alias, embed FROM an
+ UNION ALL SELECT doc_id, path, trim(regexp_replace(x, '\s+"[^"]*"$', '')), NULL, NULL, nullif(trim(label), ''), embed FROM md UNION ALL SELECT doc_id, path, coalesce(nullif(x, ''), y), NULL, NULL, NULL, false FROM ur),
+xl AS (SELECT *, regexp_matches(target, '(?i)^(?:https?:|mailto:|www\.)') AS external FROM xl0),
+lk AS (SELECT DISTINCT doc_id, path AS a, target FROM xl WHERE NOT external AND target <> '' AND {_EXT} IN ({_NOTE_EXT})),
+ow AS (SELECT kind, key, arg_min(path, (length(path), path)) AS path FROM (SELECT 'path' AS kind, lower(path) AS key, path FROM m UNION ALL SELECT 'name', lower(regexp_extract(path, '([^/]*)$', 1)), path FROM m UNION ALL SELECT 'name', lower(stem), path FROM m UNION ALL SELECT 'title', lower(trim(title)), path FROM m) WHERE key <> '' GROUP BY ALL),
+lp AS (SELECT DISTINCT a, target, lower(target) AS t, lower(regexp_extract(target, '([^/]*)$', 1)) AS name, lower(regexp_extract(a, '^(.*)/[^/]*$', 1)) AS folder FROM lk),
+lh AS (SELECT *, CASE WHEN folder = '' THEN name ELSE folder || '/' || name END AS here FROM lp),
+la AS (SELECT a, target, unnest([1, 2, 2, 2, 2, 3, 4, 5]) AS rank, unnest(['path', 'path', 'path', 'path', 'path', 'name', 'name', 'title']) AS kind, unnest([t, here, here || '.md', name, name || '.md', name, name || '.md', t]) AS key FROM lh),
+lb AS (SELECT a, target, arg_min(path, (rank, length(path), path)) AS b FROM la JOIN ow USING (kind, key) GROUP BY ALL),
+rs AS (SELECT lp.a, lp.target, lb.b FROM lp LEFT JOIN lb USING (a, target)), le AS (SELECT DISTINCT a, b FROM rs WHERE b IS NOT NULL AND a <> b)
 """
 
 
@@ -210,22 +228,29 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = PROPS + ", e AS (SELECT DISTINCT m.path AS a, concat('#', tag) AS b FROM tg JOIN m USING (doc_id) WHERE tag <> ''), v AS (SELECT a AS node FROM e UNION SELECT b FROM e)"
 
 
-@query("jon01_resolved_links", LINKS + """, own AS (SELECT lower(stem) AS name, min(path) AS node FROM m GROUP BY 1)
-SELECT DISTINCT m.path AS a, own.node AS b FROM lk JOIN m USING (doc_id) JOIN own ON own.name = lower(regexp_extract(target, '([^/]*)$', 1)) WHERE m.path <> own.node""")
+def resolved_links(n: DataFrame) -> DataFrame:
+    return L.resolve(L.internal(n, "path").select(F.col("path").alias("a"), "target"), L.owners(n))
+
+
+@query("str18_links", LINKS + "SELECT doc_id, target, heading, block, alias, embed, external FROM xl")
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return L.extract(N.notes(spark, d), "doc_id")
+
+
+@query("str18_inline_tags", NOTES + rf"""SELECT DISTINCT doc_id, tag FROM (SELECT doc_id, lower(regexp_replace(unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '{_q(L.FENCED)}', '', 'g'), '{_q(L.SPAN)}', '', 'g'), '{_q(L.TAG)}', 1)), '/+$', '')) AS tag FROM m) WHERE tag <> '' AND NOT regexp_matches(tag, '^[0-9]+$')""")
+def _inline_tags(spark: SparkSession, d: str) -> DataFrame:
+    return L.inline_tags(N.notes(spark, d), "doc_id")
+
+
+@query("jon01_resolved_links", LINKS + "SELECT a, b FROM le")
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    n = N.notes(spark, d)
-    names = n.groupBy(F.lower("stem").alias("name")).agg(F.min("path").alias("node"))
-    links = N.links(n, "path").select(F.col("path").alias("node"), F.lower(T.base_name(F.col("target"))).alias("name"))
-    return G.edge_build(links, names)
+    return L.edges(resolved_links(N.notes(spark, d)))
 
 
-@query("jon02_phantoms", LINKS + """, own AS (SELECT DISTINCT lower(stem) AS name FROM m)
-SELECT lower(target) AS target, count(DISTINCT doc_id) AS notes FROM lk WHERE lower(regexp_extract(target, '([^/]*)$', 1)) NOT IN (SELECT name FROM own) GROUP BY 1""")
+@query("jon02_phantoms", LINKS + r"SELECT regexp_replace(lower(target), '\.md$', '') AS target, count(DISTINCT a) AS notes, min(target) AS spelling FROM rs WHERE b IS NULL GROUP BY 1")
 def _phantoms(spark: SparkSession, d: str) -> DataFrame:
-    n = N.notes(spark, d)
-    links = N.links(n, "doc_id").withColumn("name", F.lower(T.base_name(F.col("target"))))
-    lost = links.join(n.select(F.lower("stem").alias("name")), "name", "left_anti")
-    return lost.groupBy(F.lower("target").alias("target")).agg(F.count_distinct("doc_id").alias("notes"))
+    lost = resolved_links(N.notes(spark, d)).where("b IS NULL")
+    return lost.groupBy(F.regexp_replace(F.lower("target"), r"\.md$", "").alias("target")).agg(F.count_distinct("a").alias("notes"), F.min("target").alias("spelling"))
 
 
 @query("grf04_degrees", _EDGES + " SELECT node, (SELECT count(*) FROM e WHERE a = node)::BIGINT AS out_degree, (SELECT count(*) FROM e WHERE b = node)::BIGINT AS in_degree FROM v")
@@ -324,8 +349,7 @@ def _centrality(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("node").alias("path"), F.col("rank").alias("centrality"))
 
 
-_OWN = """, own AS (SELECT lower(stem) AS name, min(path) AS node FROM m GROUP BY 1),
- e AS (SELECT DISTINCT m.path AS a, own.node AS b FROM lk JOIN m USING (doc_id) JOIN own ON own.name = lower(regexp_extract(target, '([^/]*)$', 1)) WHERE m.path <> own.node), v AS (SELECT DISTINCT path AS node FROM m)"""
+_OWN = ", e AS (SELECT a, b FROM le), v AS (SELECT DISTINCT path AS node FROM m)"
 _SIGNAL = f"""greatest(0, least(1, least(1, log10(greatest(1, w) + 1) / 2.6) * 0.5 + CASE WHEN w > 0 THEN 0.24 ELSE 0 END + least(1, (h * 0.12 + CASE WHEN k > 0 THEN 0.25 ELSE 0 END) / 0.9) * 0.26
   - least(0.55, CASE WHEN w > 0 THEN l / greatest(1, w / 20) ELSE 0 END * 0.3 + li / greatest(n, 1) * 0.2 + t / greatest(n, 1) * 0.35)))"""
 
@@ -439,8 +463,7 @@ sw AS (SELECT *, [w FOR w IN regexp_split_to_array(regexp_replace(s, '[\\s*_-]+$
 sj AS (SELECT *, array_to_string(w[greatest(len(w) - 1, 1):], ' ') AS subject FROM sw),
 sf AS (SELECT doc_id, subject, arg_min(value, (line_no, pos)) AS value FROM sj WHERE length(subject) >= 3 AND subject NOT IN ({_list(I.GENERIC)}) GROUP BY 1, 2),
 ac AS (SELECT 'metric-drift' AS kind, '' AS scale, doc_id, subject, value FROM cf UNION ALL SELECT 'status-conflict', {_SCALE_SQL}, doc_id, subject, value FROM sf),
-own AS (SELECT lower(stem) AS name, min(path) AS node FROM m GROUP BY 1),
-ed AS (SELECT DISTINCT least(m.path, own.node) AS a, greatest(m.path, own.node) AS b FROM lk JOIN m USING (doc_id) JOIN own ON own.name = lower(regexp_extract(target, '([^/]*)$', 1)) WHERE m.path <> own.node),
+ed AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM le),
 rl AS (SELECT doc_id, 'folder' AS relation, folder AS key FROM m WHERE folder <> '' UNION ALL SELECT doc_id, 'tag', tag FROM tg WHERE tag <> '' UNION ALL SELECT doc_id, 'term', term FROM top WHERE rank <= 12
  UNION ALL SELECT m.doc_id, 'link', concat(a, chr(10), b) FROM ed JOIN m ON m.path IN (a, b)),
 rr AS (SELECT kind, subject, relation, key, scale, value, path, mtime FROM ac JOIN rl USING (doc_id) JOIN m USING (doc_id)),

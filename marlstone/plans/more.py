@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from ..functions import transforms as X
 from ..operators import graph as G
 from ..operators import notes as N
 from ..operators import select as S
-from ..shared import need, table
-from .core import _C, _CODE, _EDGES, _HEAD, _LIST, _LNK, _TASK, _WORDS, AS_OF, LINKS, NOTES, PROPS, _edges, _q, _signal_of
+from ..operators import links as L
+from ..shared import cut, need, table
+from .core import _C, _CODE, _EDGES, _HEAD, _LIST, _LNK, _PR, _TASK, _WORDS, AS_OF, LINKS, NOTES, PROPS, _edges, _q, _resolved, _signal_of, resolved_links
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -80,17 +83,19 @@ def _stubs(spark: SparkSession, d: str) -> DataFrame:
     return N.notes(spark, d).where(T.count_words(F.col("text")) <= 12).select("doc_id")
 
 
-@query("jon09_stale_references", PROPS + r""", st AS (SELECT doc_id, max(lower(value)) AS status FROM pr WHERE key = 'status' GROUP BY 1), ns AS (SELECT m.doc_id, path, lower(stem) AS name, coalesce(status, 'active') AS status FROM m LEFT JOIN st USING (doc_id)),
-lk AS (SELECT DISTINCT doc_id, lower(regexp_extract(trim(t), '([^/]*)$', 1)) AS name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[([^\]\[|#\n]+)[^\]\[\n]*\]\]', 1)) AS t FROM m))
-SELECT DISTINCT a.path AS caller, b.path AS stale, b.status FROM lk JOIN ns a ON a.doc_id = lk.doc_id JOIN ns b ON b.name = lk.name WHERE a.status NOT IN ('archived', 'deprecated', 'obsolete', 'superseded') AND b.status IN ('archived', 'deprecated', 'obsolete', 'superseded')""")
+STALE = ("archived", "deprecated", "obsolete", "superseded")
+_STALE = ", ".join(f"'{x}'" for x in STALE)
+
+
+@query("jon09_stale_references", PROPS + LINKS.removeprefix(NOTES) + f""", st AS (SELECT doc_id, max(lower(value)) AS status FROM pr WHERE key = 'status' GROUP BY 1), ns AS (SELECT m.path, coalesce(status, 'active') AS status FROM m LEFT JOIN st USING (doc_id))
+SELECT DISTINCT le.a AS caller, le.b AS stale, y.status FROM le JOIN ns x ON x.path = le.a JOIN ns y ON y.path = le.b WHERE x.status NOT IN ({_STALE}) AND y.status IN ({_STALE})""")
 def _stale(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d)
     status = N.properties(n, "doc_id").where("key = 'status'").groupBy("doc_id").agg(F.max(F.lower("value")).alias("status"))
-    named = n.join(status, "doc_id", "left").select("doc_id", "path", F.lower("stem").alias("name"), F.coalesce("status", F.lit("active")).alias("status"))
-    old = F.col("status").isin("archived", "deprecated", "obsolete", "superseded")
-    links = N.links(n, "doc_id").select("doc_id", F.lower(T.base_name(F.col("target"))).alias("name")).distinct()
-    callers = links.join(named.where(~old).select("doc_id", F.col("path").alias("caller")), "doc_id")
-    return callers.join(named.where(old).select("name", F.col("path").alias("stale"), "status"), "name").select("caller", "stale", "status").distinct()
+    named = n.join(status, "doc_id", "left").select("path", F.coalesce("status", F.lit("active")).alias("status"))
+    old = F.col("status").isin(*STALE)
+    e = _resolved(spark, d)
+    return e.join(named.where(~old).select(F.col("path").alias("a")), "a").join(named.where(old).select(F.col("path").alias("b"), "status"), "b").select(F.col("a").alias("caller"), F.col("b").alias("stale"), "status").distinct()
 
 
 _EMB = r"!\[\[([^\]|#\n]+)[^\]\n]*\]\]|!\[[^\]\n]*\]\(([^)\s]+)[^)\n]*\)"
@@ -117,7 +122,52 @@ def _hubs(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(_edges(spark, d)).where("in_degree > 0").orderBy(F.desc("in_degree"), "node").limit(25).select("node", "in_degree")
 
 
-@query("grf06_dead_ends", LINKS + "SELECT path FROM m WHERE doc_id NOT IN (SELECT doc_id FROM lk)")
+@query("grf06_dead_ends", LINKS + "SELECT path FROM m WHERE path NOT IN (SELECT a FROM le)")
 def _dead(spark: SparkSession, d: str) -> DataFrame:
+    """Notes from which no link leads to another note."""
+    return N.notes(spark, d).join(_resolved(spark, d).select(F.col("a").alias("path")).distinct(), "path", "left_anti").select("path")
+
+
+@query("grf06_orphans", LINKS + "SELECT path FROM m WHERE path NOT IN (SELECT a FROM le) AND path NOT IN (SELECT b FROM le)")
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    e = _resolved(spark, d)
+    ends = e.select(F.col("a").alias("path")).union(e.select("b")).distinct()
+    return N.notes(spark, d).join(ends, "path", "left_anti").select("path")
+
+
+@query("grf06_maps", LINKS + "SELECT a AS path, count(*) AS out_degree FROM le GROUP BY a HAVING count(*) >= 2 ORDER BY count(*) DESC, a LIMIT 15")
+def _maps(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen notes that link to most others, two at least."""
+    g = _resolved(spark, d).groupBy(F.col("a").alias("path")).agg(F.count("*").alias("out_degree")).where("out_degree >= 2")
+    return g.orderBy(F.desc("out_degree"), "path").limit(15)
+
+
+_GE = LINKS + ", e AS (SELECT a, b FROM le), v AS (SELECT a AS node FROM e UNION SELECT b FROM e)"
+
+
+@query("agg18_graph_report", _GE + r""" SELECT (SELECT count(*) FROM m) AS notes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM m WHERE path NOT IN (SELECT node FROM v)) AS orphans,
+ (SELECT count(DISTINCT (a, regexp_replace(lower(target), '\.md$', ''))) FROM rs WHERE b IS NULL) AS outside""")
+def _graph_report(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d)
-    return n.join(N.links(n, "doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select("path")
+    r = cut(resolved_links(n), "resolved")
+    e = cut(L.edges(r), "edges")
+    ends = e.select(F.col("a").alias("path")).union(e.select("b")).distinct()
+    one = [n.agg(F.count("*").alias("notes")), e.agg(F.count("*").alias("edges")), n.join(ends, "path", "left_anti").agg(F.count("*").alias("orphans")), r.where("b IS NULL").select("a", F.regexp_replace(F.lower("target"), r"\.md$", "")).distinct().agg(F.count("*").alias("outside"))]
+    return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), one)  # of one row each
+
+
+@query("grf04_link_degrees", _GE + " SELECT node, (SELECT count(*) FROM e WHERE a = node)::BIGINT AS out_degree, (SELECT count(*) FROM e WHERE b = node)::BIGINT AS in_degree FROM v")
+def _link_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(_resolved(spark, d))
+
+
+@query("srt09_topology", _GE + _PR.removeprefix(_EDGES) + """, c AS (SELECT node, rank / (SELECT max(rank) FROM r20) AS c FROM r20), i AS (SELECT b, count(*) AS i FROM e GROUP BY b)
+SELECT e.a, e.b, round((x.c + y.c) / 2 + 0.1 * i, 6) AS weight FROM e JOIN c x ON x.node = e.a JOIN c y ON y.node = e.b JOIN i ON i.b = e.b ORDER BY round((x.c + y.c) / 2 + 0.1 * i, 6) DESC, e.a, e.b LIMIT 14""".replace(", c AS (SELECT node", ", cc AS (SELECT node").replace("JOIN c x", "JOIN cc x").replace("JOIN c y", "JOIN cc y"))
+def _topology(spark: SparkSession, d: str) -> DataFrame:
+    """The fourteen links of most weight: the mean rank of their ends and a tenth per link to the second."""
+    e = cut(_resolved(spark, d), "edges")
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    r = cut(G.pagerank(nodes, e), "ranks")
+    deg = e.groupBy("b").agg(F.count("*").alias("i"))
+    out = e.join(r.select(F.col("node").alias("a"), F.col("rank").alias("x")), "a").join(r.select(F.col("node").alias("b"), F.col("rank").alias("y")), "b").join(deg, "b")
+    return out.select("a", "b", F.round((F.col("x") + F.col("y")) / 2 + 0.1 * F.col("i"), 6).alias("weight")).orderBy(F.desc("weight"), "a", "b").limit(14)
