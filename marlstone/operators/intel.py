@@ -60,14 +60,14 @@ def similar_pairs(notes: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
     return both.select("a", "b", (i / (F.col("na") + F.col("nb") - i)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def similar_groups(notes: DataFrame) -> DataFrame:
+def similar_groups(notes: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """doc_id, component (least doc_id of the group), representative (least doc_id of its text), links: every note that has a copy or a similar note.
 
     links counts the other notes that a note is linked with: its copies, and all copies of the texts similar to its own.
     """
     texts = cut(notes.select("doc_id", F.md5("text").alias("h")), "texts")
     classes = texts.groupBy("h").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies"))
-    pairs = cut(similar_pairs(notes).select("a", "b"), "pairs")
+    pairs = cut(similar_pairs(notes, threshold, k).select("a", "b"), "pairs")
     sizes = classes.select(F.col("representative").alias("b"), "copies")
     ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes, "b").groupBy(F.col("a").alias("representative")).agg(F.sum("copies").alias("near"))
     # a text with copies is a group even if no other is similar to it

@@ -410,7 +410,7 @@ _FOCUS = ("drainage", "seedling", "telescope")
 ti AS (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(lower(title), '{_q(T.TERM)}'))) AS term FROM m),
 al AS (SELECT doc_id, term, sum(s) AS s FROM (SELECT doc_id, term, weight AS s FROM q UNION ALL SELECT doc_id, term, 2.5 * idf FROM ti JOIN id USING (term)) GROUP BY ALL),
 pn AS (SELECT doc_id, sum(s) * CASE WHEN count(*) > 1 THEN 1 + 0.35 * (count(*) - 1) ELSE 1 END AS score, count(*) AS matched FROM al GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS score, matched FROM pn JOIN m USING (doc_id) WHERE NOT contains(lower(title), 'review') ORDER BY round(score, 9) DESC, path LIMIT 20""")
+SELECT doc_id, round(score, 6) AS score, matched FROM pn JOIN m USING (doc_id) WHERE NOT contains(lower(title), 'review') AND NOT contains(lower(path), 'review') AND doc_id NOT IN (SELECT doc_id FROM kt WHERE term = 'review') ORDER BY round(score, 9) DESC, path LIMIT 20""")
 def _focus(spark: SparkSession, d: str) -> DataFrame:
     n = N.notes(spark, d)
     r = S.rank_by_focus(n, N.key_terms(n), S.parse_focus(" ".join(_FOCUS) + " -review"))
