@@ -70,8 +70,8 @@ def candidates(files: DataFrame, p: Profile, own_folder: str | None = None) -> D
 
 def title_of(text: Column, path: Column) -> Column:
     """The frontmatter's title or name, else the first heading of the first level, else the stem."""
-    given = F.regexp_extract(N.frontmatter(text), r"(?mi)^(?:title|name):[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)
-    head = F.trim(F.regexp_extract(text, r"(?m)^ {0,3}#[ \t]+([^\n]+?)[ \t#]*$", 1))
+    given = F.regexp_extract(N.frontmatter(text), r"(?mi)^(?:title|name):[ \t]*[\"']?([^\r\n]*?)[\"']?[ \t]*\r?$", 1)
+    head = F.trim(F.regexp_extract(text, r"(?m)^ {0,3}#[ \t]+([^\r\n]+?)[ \t#]*\r?$", 1))
     return F.coalesce(F.nullif(given, F.lit("")), F.nullif(head, F.lit("")), T.stem(path))
 
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..shared import need
 
 #: Code is no place for links: fenced blocks (an open one reaches the end) and inline spans.
-FENCED = r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)|^[ \t]*~~~.*?(?:^[ \t]*~~~[^\n]*$|\z)"
+FENCED = r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*|\z)|^[ \t]*~~~.*?(?:^[ \t]*~~~[^\n]*|\z)"
 SPAN = r"`[^`\n]*`"
 WIKI = r"(!?)\[\[([^\[\]\n]+)\]\]"
 MARKDOWN = r"(!?)\[([^\]\n]*)\]\(([^)\n]+)\)"

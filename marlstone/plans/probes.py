@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import temporary
-from . import core, more
+from . import core, extra, more
 
 _DAY = dt.datetime(2026, 1, 10)
 _LONG = " ".join(f"word{i} in line" for i in range(60))
@@ -48,20 +48,20 @@ def _value(v) -> str:
 
 
 _TABLE = "documents(doc_id, text, lang, source, n_chars, path, title, mtime, ingested_at) AS (VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows()) + ")"
-NAMES = "str18_links str18_inline_tags jon01_resolved_links jon02_phantoms jon09_stale_references sec01_secret_scan trf17_redacted cnd01_similar_pairs set01_similar_groups grf04_link_degrees grf06_dead_ends grf06_orphans grf06_maps agg18_graph_report srt09_topology srt01_note_value jon08_related_drift".split()
+NAMES = "str18_links str18_inline_tags jon01_resolved_links jon02_phantoms jon09_stale_references sec01_secret_scan trf17_redacted cnd01_similar_pairs set01_similar_groups grf04_link_degrees grf06_dead_ends grf06_orphans grf06_maps agg18_graph_report srt09_topology srt01_note_value jon08_related_drift arr02_titles jon05_contained_pairs agg14_secret_kinds jon11_transcluded jon04_banded_pairs agg13_themes".split()
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
 def _over(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return {**core.QUERIES, **more.QUERIES}[name](spark, folder(spark))
+        return {**core.QUERIES, **more.QUERIES, **extra.QUERIES}[name](spark, folder(spark))
 
     return query
 
 
 for _n in NAMES:
     QUERIES[f"{_n}_probe"] = _over(_n)
-    _sql = {**core.SQL, **more.SQL}.get(_n)
+    _sql = {**core.SQL, **more.SQL, **extra.SQL}.get(_n)
     if _sql:
         SQL[f"{_n}_probe"] = _sql.replace("WITH n AS", f"WITH {_TABLE}, n AS", 1)
