@@ -41,15 +41,16 @@ def similar_pairs(notes: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
     """
     t = F.col("text")
     rep = notes.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    w = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"))
-    words = notes.join(rep.select("doc_id"), "doc_id", "left_semi").select("doc_id", w.alias("w")).where(F.size("w") >= k)
+    # words are hashed once; no filter on what is computed here, as it would be pushed down with the whole expression
+    w = F.transform(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)")), lambda x: F.xxhash64(x))
+    words = notes.join(rep.select("doc_id"), "doc_id", "left_semi").select("doc_id", w.alias("w"))
     # shifted lists side by side: inside a lambda over positions the list of words would be made anew for each of them
     side = F.arrays_zip(*(F.slice("w", j + 1, F.greatest(F.size("w") - j, F.lit(0))).alias(f"w{j}") for j in range(k)))
     runs = F.array_distinct(F.transform(F.filter(side, lambda r: r[f"w{k - 1}"].isNotNull()), lambda r: F.xxhash64(*[r[f"w{j}"] for j in range(k)])))
-    post = words.select("doc_id", runs.alias("s")).select("doc_id", F.size("s").alias("n"), F.explode("s").alias("e"))
+    post = words.select("doc_id", runs.alias("s")).select("doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("e")).where("e IS NOT NULL")
     df = post.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     # read four times below, so written once
-    shared = cut(post.join(df, "e").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s")), "shared")
+    shared = cut(post.join(df, "e").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s")), "shared")
     head = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("s"))
     lead = shared.where(head > 0).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), head)).alias("x")).select("doc_id", "n", "x.e")
     x, y = lead.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "e"), lead.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "e")
