@@ -485,7 +485,14 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
     return I.similar_pairs(N.notes(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("set01_similar_groups")
+_GROUPS = SQL["cnd01_similar_pairs"].replace("SELECT a, b, round(i / (x.n + y.n - i)::DOUBLE, 6) AS similarity FROM i", ", p AS (SELECT a, b FROM i") + """),
+cl AS (SELECT md5(text) AS h, min(doc_id) AS rep, count(*) AS copies FROM m GROUP BY 1), ed AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p UNION SELECT rep, rep FROM cl WHERE copies > 1),
+rc AS (WITH RECURSIVE r AS (SELECT x, y FROM ed UNION SELECT r.x, ed.y FROM r JOIN ed ON ed.x = r.y) SELECT x, least(x, min(y)) AS component FROM r GROUP BY x),
+nr AS (SELECT x, sum(copies) AS near FROM ed JOIN cl ON cl.rep = y WHERE x <> y GROUP BY x)
+SELECT m.doc_id, component, rep AS representative, (copies - 1 + coalesce(near, 0))::BIGINT AS links FROM m JOIN cl ON cl.h = md5(m.text) JOIN rc ON rc.x = rep LEFT JOIN nr ON nr.x = rep"""
+
+
+@query("set01_similar_groups", _GROUPS)
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     return I.similar_groups(N.notes(spark, d))
 
